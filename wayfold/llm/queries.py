@@ -5,9 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, licenses, packing, token_counts, toxicity
+from wayfold.llm import decontaminate, licenses, packing, quality, secrets, token_counts, toxicity
 from wayfold.llm.common import table
 
 
@@ -36,9 +35,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op4_licenses, op5_toxicity, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_secrets, op4_licenses, op5_toxicity, op6_quality, op8_packing)}
 ORACLES: dict[str, str] = {}
