@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import decontaminate, licenses, packing, quality, secrets, token_counts, toxicity
+from wayfold.llm import decontaminate, licenses, packing, quality, secrets, sharding, token_counts, toxicity
 from wayfold.llm.common import table
 
 
@@ -45,9 +45,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_secrets, op4_licenses, op5_toxicity, op6_quality, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_secrets, op4_licenses, op5_toxicity, op6_quality, op7_sharding, op8_packing)}
 ORACLES: dict[str, str] = {}
