@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import decontaminate, licenses, packing, quality, secrets, sharding, token_counts, toxicity
+from wayfold.llm import decontaminate, licenses, neardup, packing, quality, secrets, sharding, token_counts, toxicity
 from wayfold.llm.common import table
 
 
@@ -53,5 +53,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_secrets, op4_licenses, op5_toxicity, op6_quality, op7_sharding, op8_packing)}
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_secrets, op4_licenses, op5_toxicity, op6_quality, op7_sharding, op8_packing, op9_neardup)}
 ORACLES: dict[str, str] = {}
