@@ -218,3 +218,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     own = own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     none = docs.where("text is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return own.unionByName(none).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """documents without those that have a near copy with a smaller doc_id; of equal rows of one doc_id all stay."""
+    found = near_duplicates(documents)
+    gone = cut(found.where("not kept and doc_id is not null").select("doc_id").distinct())
+    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
+    return rows.join(F.broadcast(gone.withColumnRenamed("doc_id", "_id")) if small(gone) else gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").select(*(f"`{c}`" for c in documents.columns))

@@ -63,8 +63,10 @@ def statistics(documents: DataFrame) -> DataFrame:
     q = q.select(*rest, "words", F.expr(_CANDIDATES).alias("some"))
     q = q.select(*rest, F.expr("array_sort(transform(some, p -> named_struct('t', concat_ws(' ', words[int(p)], words[int(p + 1)], words[int(p + 2)]), 'p', p)))").alias("texts"))
     q = q.select(*rest, F.expr(_REPEATED).alias("at"))
-    q = q.select("_row", F.col("n_words").cast("long").alias("n_words"), *rest[2:], F.expr(_COVERED).alias("n_repeat_words"))
-    return q.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *STATISTICS)
+    # One row from one row: a filter on the statistics stays above, and is not unfolded into the steps below.
+    whole = F.struct(F.col("n_words").cast("long").alias("n_words"), *rest[2:], F.expr(_COVERED).alias("n_repeat_words"))
+    q = q.select("_row", F.explode(F.array(whole)).alias("_s"))
+    return q.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *(f"_s.{c}" for c in STATISTICS))
 
 
 #: What rules test, from the statistics; none of them is null.

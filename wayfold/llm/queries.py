@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import decontaminate, licenses, neardup, packing, quality, secrets, sharding, token_counts, toxicity
+from wayfold.llm import archives, decontaminate, licenses, neardup, packing, quality, secrets, sharding, token_counts, toxicity
 from wayfold.llm.common import table
 
 
@@ -57,5 +57,9 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_secrets, op4_licenses, op5_toxicity, op6_quality, op7_sharding, op8_packing, op9_neardup)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_secrets, op4_licenses, op5_toxicity, op6_quality, op7_sharding, op8_packing, op9_neardup, op10_warc)}
 ORACLES: dict[str, str] = {}

@@ -116,7 +116,9 @@ def spans(documents: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow:
     wide = "case " + " ".join(f"when x.w = {i} then {c.window}" for i, c in enumerate(classes)) + " end"
     kind = "case " + " ".join(f"when x.w = {i} then '{c.kind}'" for i, c in enumerate(classes)) + " end"
     more = F.expr(f"transform(_c, x -> named_struct('s', x.s + x.r.a, 'o', 3 + x.w, 'e', x.s + x.r.b + {wide}, 'kind', {kind}))")
-    return q.select(*(F.col(f"_row.`{c}`").alias(c) for c in base.columns), F.array_sort(F.concat("_f0", "_f1", "_f2", more)).alias("spans"))
+    # One row from one row: a filter on the spans stays above, and is not unfolded into the steps below.
+    q = q.select("_row", F.explode(F.array(F.struct(F.array_sort(F.concat("_f0", "_f1", "_f2", more)).alias("spans")))).alias("_s"))
+    return q.select(*(F.col(f"_row.`{c}`").alias(c) for c in base.columns), "_s.spans")
 
 
 def _text(of: Column) -> Column:
