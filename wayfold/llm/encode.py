@@ -21,6 +21,8 @@ WORDS = 1_000_000
 LONG = 64
 
 _BLANK = re.compile("[ \t\n\r]+")
+#: What str.split() takes for white space and tokenizers do not.
+_ODD = re.compile("[\x1c-\x1f]")
 #: Marks, a word of letters that stay one letter in lower case, marks. No mark before the word can begin a contraction.
 _PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _made: dict[str, Encoder] = {}
@@ -44,6 +46,11 @@ class Encoder:
         added = [x["content"] for x in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.words: dict[str, bytes] = {}
+        self.ends, suffix = None, spec["model"].get("end_of_word_suffix")
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[v for k, v in vocabulary.items() if k.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,6 +71,23 @@ class Encoder:
             out.update(zip(some, [whole[4 * a + 4 : 4 * b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
         return out
 
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each of letters or of marks alone: blanks part them, and a word's last token says that it ends there."""
+        if self.ends is None:
+            return self._apart(words)
+        out = {"": b""}
+        words = [w for w in words if w]
+        for i in range(0, len(words), 8192):
+            some = words[i : i + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edges = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(edges) != len(some) + 1:
+                out.update(self._apart(some))
+                continue
+            whole = ids.tobytes()
+            out.update(zip(some, [whole[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+        return out
+
     def _found(self, chunks: Collection[str]) -> dict[str, bytes]:
         """Ids of distinct chunks."""
         if not self.by_word:
@@ -73,6 +97,9 @@ class Encoder:
             words.clear()
         match, has, special = _PARTS.fullmatch, words.get, self.special.search
         for c in chunks:
+            if (x := has(c)) is not None:
+                out[c] = x
+                continue
             m = match(c)
             if m is None or len(c) > LONG or (m[1] or m[3]) and special(c):
                 other.append(c)
@@ -85,7 +112,7 @@ class Encoder:
             else:
                 later.append((c, a, w, b))
                 lack.update((a, w, b))
-        words.update(self._apart([x for x in lack if x not in words]))
+        words.update(self._plain([x for x in lack if x not in words]))
         for c, a, w, b in later:
             out[c] = words[a] + words[w] + words[b]
         out.update(self._apart(other))
@@ -95,7 +122,7 @@ class Encoder:
         """Of each text; give some MB at a time, so that their distinct chunks are few beside all."""
         if not self.by_chunk:
             return self.encode(texts)
-        split = [_BLANK.split(t) for t in texts]
+        split = [_BLANK.split(t) if _ODD.search(t) else t.split() for t in texts]
         get = self._found(set(chain.from_iterable(split))).__getitem__
         return [b"".join(map(get, x)) for x in split]
 
