@@ -27,7 +27,7 @@ SHARDS = 8
 ROUNDS = 3
 SALTS = 256
 #: Rows a cell has about, and the most cells.
-CELL_ROWS, CELLS = 20_000, 65_536
+CELL_ROWS, CELLS = 500, 65_536
 
 
 def _before(counted: DataFrame, within: list[str], by: str, n: str, out: str) -> DataFrame:
