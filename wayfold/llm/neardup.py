@@ -7,9 +7,10 @@
 3. Candidates are neighbours in a tree that agree on the first DEPTH values at least: nearest first, those whose
    common prefix is longest. A region of up to ``NEAR + 1`` classes has all its pairs; a larger one is searched
    at the depth at which its classes still have neighbours, which is where the sort puts like ones side by side.
-4. Each class first tries its likeliest direct neighbour (by the share of equal MinHash values), confirmed on
-   the full sets; the links' components are found. Then all candidates that lie in different components and
-   are not ruled out by their MinHash values are confirmed too, and the components are found again.
+4. A few times, each class tries the likeliest neighbour outside its component (side by side in most trees), on
+   the full sets, and components that a link joins become one. Then all candidates that still lie in different
+   components and are not ruled out by their MinHash values are tried too. So the work on a large group of near
+   copies is a few tries a member, not its pairs, and no candidate is left out.
 5. Components: alternating large-star and small-star joins until nothing changes.
 
 A pair at the similarity 0.75 misses every tree with a probability of 1e-8 ((1 - 0.75^4)^64 is 3e-11; 52 trees:
@@ -38,6 +39,8 @@ PERCENT = 75
 TREES, DEPTH, DEEPER = 52, 4, 4
 #: Neighbours on either side that a class is compared with in a tree.
 NEAR = 16
+#: How often a class tries its likeliest neighbour before all that are left are tried.
+TRIES = 3
 #: Candidates of which fewer of the TREES * DEPTH values agree are none; at 0.75, 156 do, with a deviation of 6.2.
 AGREE = 117
 
@@ -111,7 +114,7 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b with w, how far apart they stood, of rows in a tree's order."""
+    """Pairs a < b of rows that stand near each other in a tree's order."""
     p, ids = np.empty(0, np.int64), np.empty(0, np.int64)
     for b in batches:
         kept = len(p)
@@ -123,9 +126,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 break
             x, y = ids[at], ids[at + w]
-            out.append((np.minimum(x, y), np.maximum(x, y), np.full(len(at), w, np.int32)))
+            out.append((np.minimum(x, y), np.maximum(x, y)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
         p, ids = p[-NEAR:], ids[-NEAR:]
 
 
@@ -187,6 +190,25 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return x.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, same int")
 
 
+def _apart(candidates: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Of candidates a, b, k those in different components."""
+    if roots is None:
+        return candidates
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    return candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "k")
+
+
+def _join(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """roots (id, root) after the components of linked ids are joined; links between roots are what the joins work on."""
+    if roots is None:
+        return cut(components(links))
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    above = cut(components(between))
+    moved = roots.join(above.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return cut(moved.unionByName(above.join(roots.select("id"), "id", "left_anti")))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -196,22 +218,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = cut(classes.select("id", "n", "sig"))
     sorted_ = classes.select("id", "sig").mapInArrow(_branches, "p long, q long, id long")
     many = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = sorted_.repartitionByRange(many, "p", "q", "id").sortWithinPartitions("p", "q", "id").mapInArrow(_neighbours, "a long, b long, w int")
-    candidates = cut(found.groupBy("a", "b").agg(F.min("w").alias("w")))
-
-    # First the likeliest neighbour of each class.
-    near = cut(_likely(candidates.where("w = 1"), classes))
-    either = near.select(F.col("a").alias("u"), "a", "b", "same").unionByName(near.select(F.col("b").alias("u"), "a", "b", "same"))
-    best = either.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("same", -F.col("a"), -F.col("b"))).alias("x")).select("x.a", "x.b").distinct()
-    links = cut(_confirmed(cut(best), docs))
-    roots = cut(components(links))
-
-    # Then all others that are still apart.
-    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    apart = candidates.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    rest = cut(_likely(apart, classes))
-    more = _confirmed(rest, docs)
-    roots = cut(components(links.unionByName(more)))
+    found = sorted_.repartitionByRange(many, "p", "q", "id").sortWithinPartitions("p", "q", "id").mapInArrow(_neighbours, "a long, b long")
+    # k: in how many trees the two stood side by side.
+    candidates = cut(found.groupBy("a", "b").agg(F.count("*").alias("k")))
+
+    # A few times, each class tries the likeliest of its neighbours that lie in another component.
+    roots, tried = None, None
+    for _ in range(TRIES):
+        apart = _apart(candidates, roots)
+        if tried is not None:
+            apart = apart.join(tried, ["a", "b"], "left_anti")
+        either = apart.select(F.col("a").alias("u"), "a", "b", "k").unionByName(apart.select(F.col("b").alias("u"), "a", "b", "k"))
+        best = cut(either.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("k", -F.col("a"), -F.col("b"))).alias("x")).select("x.a", "x.b").distinct())
+        tried = best if tried is None else tried.unionByName(best)
+        roots = _join(roots, _confirmed(cut(_likely(best, classes).select("a", "b")), docs))
+    # Then all that are still apart.
+    rest = cut(_likely(_apart(candidates, roots).join(tried, ["a", "b"], "left_anti"), classes).select("a", "b"))
+    roots = _join(roots, _confirmed(rest, docs))
 
     parts = reps.join(roots, "id", "left").select("f1", "f2", "n", F.coalesce("root", "id").alias("component_id"))
     own = signed.select("doc_id", "n", "f1", "f2").join(parts, ["f1", "f2", "n"], "left")
