@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm import archives, decontaminate, licenses, neardup, packing, quality, secrets, sharding, token_counts, toxicity
-from wayfold.llm.common import table
+from wayfold.llm.common import cut, table
 
 
 def tokenizer() -> str:
@@ -20,7 +20,7 @@ def tokenizer() -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.curve(token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer()))
+    return token_counts.curve(cut(token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer())))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
