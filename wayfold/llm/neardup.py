@@ -7,14 +7,17 @@
 3. Candidates are neighbours in a tree that agree on the first DEPTH values at least: nearest first, those whose
    common prefix is longest. A region of up to ``NEAR + 1`` classes has all its pairs; a larger one is searched
    at the depth at which its classes still have neighbours, which is where the sort puts like ones side by side.
+   Pairs that the sizes or the MinHash values rule out are left out on the spot: a class's row carries both.
 4. A few times, each class tries the likeliest neighbour outside its component (side by side in most trees), on
    the full sets, and components that a link joins become one. Then all candidates that still lie in different
-   components and are not ruled out by their MinHash values are tried too. So the work on a large group of near
+   components are tried too. So the work on a large group of near
    copies is a few tries a member, not its pairs, and no candidate is left out.
 5. Components: alternating large-star and small-star joins until nothing changes.
 
 A pair at the similarity 0.75 misses every tree with a probability of 1e-8 ((1 - 0.75^4)^64 is 3e-11; 52 trees:
-2.7e-9). What the MinHash values rule out lies 6 standard deviations below.
+2.7e-9). What the MinHash bits rule out lies 5 standard deviations below.
+In a region larger than NEAR + 1 a pair is met only where both stand near each other in some tree's order; members of
+such groups have many links, and one is enough (figures in the README).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z. Defined results: a text of fewer words has its whole
 sequence as one shingle; a null or empty text, or one without words, has an empty set and is linked with nothing; repeated rows of a
@@ -36,13 +39,13 @@ from wayfold.llm.common import SOLID, Words, bytes_of, cut, mix, pieces, small
 
 SHINGLE = 5
 PERCENT = 75
-TREES, DEPTH, DEEPER = 52, 4, 4
+TREES, DEPTH, DEEPER = 52, 4, 8
 #: Neighbours on either side that a class is compared with in a tree.
-NEAR = 16
+NEAR = 9
 #: How often a class tries its likeliest neighbour before all that are left are tried.
 TRIES = 3
-#: Candidates of which fewer of the TREES * DEPTH values agree are none; at 0.75, 156 do, with a deviation of 6.2.
-AGREE = 117
+#: Neighbours whose MinHash values agree in fewer last bits are no candidates; at 0.75, 182 of 208 do, with a deviation of 4.8.
+AGREE = 158
 
 _VALUES = TREES * DEPTH
 _rng = np.random.default_rng(20240229)
@@ -99,7 +102,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class and tree: p (the tree and a hash of its first values), q (the values below), id."""
+    """For each class and tree: p (the tree and a hash of its first values), q and r (the values below), id, the size of the set and the last bits of all values."""
     weight = (np.uint64(1) << np.uint64(16)) ** np.arange(DEPTH, dtype=np.uint64)[::-1]
     for b in batches:
         if not b.num_rows:
@@ -109,37 +112,34 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             first = np.stack([(v[:, t * DEPTH : (t + 1) * DEPTH] * weight).sum(axis=1, dtype=np.uint64) for t in range(TREES)], axis=1)
         p = (np.arange(TREES, dtype=np.uint64) << np.uint64(57)) | (mix(first) >> np.uint64(7))
-        q = np.roll(first, -17, axis=1)  # another tree's values lie below
-        yield pa.RecordBatch.from_arrays([pa.array(p.ravel().view(np.int64)), pa.array(q.ravel().view(np.int64)), pa.array(np.repeat(ids, TREES))], names=["p", "q", "id"])
+        q, r = np.roll(first, -17, axis=1), np.roll(first, -31, axis=1)  # other trees' values lie below
+        bits = pa.array([x.tobytes() for x in np.packbits((v & np.uint64(1)).astype(np.uint8), axis=1)], pa.binary())
+        rows = np.repeat(np.arange(len(ids)), TREES)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.ravel().view(np.int64)) for x in (p, q, r)), pa.array(ids[rows]), b.column("n").take(pa.array(rows)), bits.take(pa.array(rows))], names=["p", "q", "r", "id", "n", "bits"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b of rows that stand near each other in a tree's order."""
-    p, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Pairs a < b of rows that stand near each other in a tree's order and that sizes and MinHash bits don't rule out."""
+    p, ids, n, bits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, _VALUES // 8), np.uint8)
     for b in batches:
+        if not b.num_rows:
+            continue
         kept = len(p)
-        p, ids = np.concatenate([p, np.asarray(b.column("p"))]), np.concatenate([ids, np.asarray(b.column("id"))])
+        p, ids, n = (np.concatenate([old, np.asarray(b.column(c))]) for old, c in ((p, "p"), (ids, "id"), (n, "n")))
+        bits = np.concatenate([bits, np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(-1, _VALUES // 8)])
         out = []
         for w in range(1, NEAR + 1):
             at = np.flatnonzero(p[w:] == p[:-w]) if len(p) > w else np.empty(0, np.int64)
             at = at[at + w >= kept]
             if not len(at):
                 break
+            at = at[100 * np.minimum(n[at], n[at + w]) >= PERCENT * np.maximum(n[at], n[at + w])]
+            at = at[_VALUES - np.bitwise_count(bits[at] ^ bits[at + w]).sum(axis=1, dtype=np.int64) >= AGREE]
             x, y = ids[at], ids[at + w]
             out.append((np.minimum(x, y), np.maximum(x, y)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
-        p, ids = p[-NEAR:], ids[-NEAR:]
-
-
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, _VALUES) for c in ("sa", "sb"))
-        same = np.count_nonzero(x == y, axis=1)
-        ok = np.flatnonzero(same >= AGREE)
-        yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(same[ok], pa.int32())], names=["a", "b", "same"])
+        p, ids, n, bits = p[-NEAR:], ids[-NEAR:], n[-NEAR:], bits[-NEAR:]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +182,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return x.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs a, b those that sizes and MinHash values don't rule out; same is how many values agree."""
-    x = pairs.join(classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-    x = x.join(classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    x = x.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return x.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, same int")
-
-
 def _apart(candidates: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Of candidates a, b, k those in different components."""
     if roots is None:
@@ -216,9 +208,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     reps = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
     classes = reps.where("id is not null").join(signed.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "f1", "f2", "sig"), ["id", "f1", "f2"]).dropDuplicates(["id"])
     classes = cut(classes.select("id", "n", "sig"))
-    sorted_ = classes.select("id", "sig").mapInArrow(_branches, "p long, q long, id long")
+    sorted_ = classes.mapInArrow(_branches, "p long, q long, r long, id long, n long, bits binary")
     many = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = sorted_.repartitionByRange(many, "p", "q", "id").sortWithinPartitions("p", "q", "id").mapInArrow(_neighbours, "a long, b long")
+    found = sorted_.repartitionByRange(many, "p", "q", "r", "id").sortWithinPartitions("p", "q", "r", "id").mapInArrow(_neighbours, "a long, b long")
     # k: in how many trees the two stood side by side.
     candidates = cut(found.groupBy("a", "b").agg(F.count("*").alias("k")))
 
@@ -231,9 +223,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         either = apart.select(F.col("a").alias("u"), "a", "b", "k").unionByName(apart.select(F.col("b").alias("u"), "a", "b", "k"))
         best = cut(either.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("k", -F.col("a"), -F.col("b"))).alias("x")).select("x.a", "x.b").distinct())
         tried = best if tried is None else tried.unionByName(best)
-        roots = _join(roots, _confirmed(cut(_likely(best, classes).select("a", "b")), docs))
+        roots = _join(roots, _confirmed(best, docs))
     # Then all that are still apart.
-    rest = cut(_likely(_apart(candidates, roots).join(tried, ["a", "b"], "left_anti"), classes).select("a", "b"))
+    rest = cut(_apart(candidates, roots).join(tried, ["a", "b"], "left_anti").select("a", "b"))
     roots = _join(roots, _confirmed(rest, docs))
 
     parts = reps.join(roots, "id", "left").select("f1", "f2", "n", F.coalesce("root", "id").alias("component_id"))
