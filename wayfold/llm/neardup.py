@@ -8,9 +8,9 @@
    common prefix is longest. A region of up to ``NEAR + 1`` classes has all its pairs; a larger one is searched
    at the depth at which its classes still have neighbours, which is where the sort puts like ones side by side.
    Pairs that the sizes or the MinHash values rule out are left out on the spot: a class's row carries both.
-4. A few times, each class tries the likeliest neighbour outside its component (side by side in most trees), on
-   the full sets, and components that a link joins become one. Then all candidates that still lie in different
-   components are tried too. So the work on a large group of near
+4. Each class tries a few of its likeliest neighbours (most MinHash bits agree) on the full sets, and components that a link joins become one. Then all candidates that still lie in different
+   components are tried too. These pairs are gathered anew from the trees' rows, which carry their
+   components: pairs within one are not even made. So the work on a large group of near
    copies is a few tries a member, not its pairs, and no candidate is left out.
 5. Components: alternating large-star and small-star joins until nothing changes.
 
@@ -42,8 +42,8 @@ PERCENT = 75
 TREES, DEPTH, DEEPER = 52, 4, 8
 #: Neighbours on either side that a class is compared with in a tree.
 NEAR = 9
-#: How often a class tries its likeliest neighbour before all that are left are tried.
-TRIES = 3
+#: How many of its likeliest neighbours a class tries before all that are left are tried.
+TRIES = 4
 #: Neighbours whose MinHash values agree in fewer last bits are no candidates; at 0.75, 182 of 208 do, with a deviation of 4.8.
 AGREE_BITS = 158
 #: Of pairs to be confirmed fewer equal MinHash values rule a link out; at 0.75, 156 are equal, with a deviation of 6.2.
@@ -118,14 +118,33 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(x.ravel().view(np.int64)) for x in (p, q, r)), pa.array(ids[rows]), b.column("n").take(pa.array(rows)), bits.take(pa.array(rows))], names=["p", "q", "r", "id", "n", "bits"])
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows those that share p with the row before or after."""
+    last, met = None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if last is not None:
+            b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+        p = np.asarray(b.column("p"))
+        same = p[1:] == p[:-1]
+        keep = np.concatenate([[met], same])
+        keep[:-1] |= same
+        last, met = b.slice(b.num_rows - 1), bool(keep[-1])
+        keep[-1] = False
+        yield b.filter(pa.array(keep))
+    if met:
+        yield last
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b of rows that stand near each other in a tree's order and that sizes and MinHash bits don't rule out."""
-    p, ids, n, bits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, _VALUES // 8), np.uint8)
+    """Pairs a < b of rows of different roots that stand near each other in a tree's order and that sizes and MinHash bits don't rule out; k: bits that agree."""
+    p, ids, n, roots, bits = *(np.empty(0, np.int64) for _ in range(4)), np.empty((0, _VALUES // 8), np.uint8)
     for b in batches:
         if not b.num_rows:
             continue
         kept = len(p)
-        p, ids, n = (np.concatenate([old, np.asarray(b.column(c))]) for old, c in ((p, "p"), (ids, "id"), (n, "n")))
+        p, ids, n, roots = (np.concatenate([old, np.asarray(b.column(c))]) for old, c in ((p, "p"), (ids, "id"), (n, "n"), (roots, "root")))
         bits = np.concatenate([bits, np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(-1, _VALUES // 8)])
         out = []
         for w in range(1, NEAR + 1):
@@ -133,13 +152,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[at + w >= kept]
             if not len(at):
                 break
+            at = at[roots[at] != roots[at + w]]
             at = at[100 * np.minimum(n[at], n[at + w]) >= PERCENT * np.maximum(n[at], n[at + w])]
-            at = at[_VALUES - np.bitwise_count(bits[at] ^ bits[at + w]).sum(axis=1, dtype=np.int64) >= AGREE_BITS]
+            k = _VALUES - np.bitwise_count(bits[at] ^ bits[at + w]).sum(axis=1, dtype=np.int64)
+            at, k = at[k >= AGREE_BITS], k[k >= AGREE_BITS]
             x, y = ids[at], ids[at + w]
-            out.append((np.minimum(x, y), np.maximum(x, y)))
+            out.append((np.minimum(x, y), np.maximum(x, y), k))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
-        p, ids, n, bits = p[-NEAR:], ids[-NEAR:], n[-NEAR:], bits[-NEAR:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "k"])
+        p, ids, n, roots, bits = p[-NEAR:], ids[-NEAR:], n[-NEAR:], roots[-NEAR:], bits[-NEAR:]
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +205,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs a, b (computed) those whose full sets are similar enough."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = docs.where("doc_id is not null").join(F.broadcast(ids) if small(ids) else ids, "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets, "id long, set array<long>"))
     x = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -198,12 +219,26 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return x.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
 
 
-def _apart(candidates: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Of candidates a, b, k those in different components."""
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows of all trees in the trees' orders, spread by ranges."""
+    many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionByRange(many, "p", "q", "r", "id").sortWithinPartitions("p", "q", "r", "id")
+
+
+def _apart(regions: DataFrame, roots: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """a, b, k of neighbours in different components that have not been tried; regions are in the trees' orders."""
     if roots is None:
-        return candidates
-    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    return candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "k")
+        rows = regions.withColumn("root", F.col("id"))
+    else:
+        of = roots.select("id", F.col("root").alias("of"))
+        few = small(of)
+        rows = regions.join(F.broadcast(of) if few else of, "id", "left").select("p", "q", "r", "id", "n", "bits", F.coalesce("of", "id").alias("root"))
+        rows = rows if few else _ordered(rows)  # a broadcast join leaves the rows where they are
+    found = rows.select("p", "id", "n", "bits", "root").mapInArrow(_neighbours, "a long, b long, k long")
+    if tried is None:
+        return found.groupBy("a", "b").agg(F.max("k").alias("k"))
+    marked = found.withColumn("new", F.lit(True)).unionByName(tried.select("a", "b", F.lit(0).cast("long").alias("k"), F.lit(False).alias("new")))
+    return marked.groupBy("a", "b").agg(F.max("k").alias("k"), F.min("new").alias("new")).where("new").select("a", "b", "k")
 
 
 def _join(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -224,24 +259,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     reps = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
     classes = reps.where("id is not null").join(signed.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "f1", "f2", "sig"), ["id", "f1", "f2"]).dropDuplicates(["id"])
     classes = cut(classes.select("id", "n", "sig"))
-    sorted_ = classes.mapInArrow(_branches, "p long, q long, r long, id long, n long, bits binary")
-    many = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = sorted_.repartitionByRange(many, "p", "q", "r", "id").sortWithinPartitions("p", "q", "r", "id").mapInArrow(_neighbours, "a long, b long")
-    # k: in how many trees the two stood side by side.
-    candidates = cut(found.groupBy("a", "b").agg(F.count("*").alias("k")))
-
-    # A few times, each class tries the likeliest of its neighbours that lie in another component.
-    roots, tried = None, None
-    for _ in range(TRIES):
-        apart = _apart(candidates, roots)
-        if tried is not None:
-            apart = apart.join(tried, ["a", "b"], "left_anti")
-        either = apart.select(F.col("a").alias("u"), "a", "b", "k").unionByName(apart.select(F.col("b").alias("u"), "a", "b", "k"))
-        best = cut(either.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("k", -F.col("a"), -F.col("b"))).alias("x")).select("x.a", "x.b").distinct())
-        tried = best if tried is None else tried.unionByName(best)
-        roots = _join(roots, _confirmed(cut(_likely(best, classes)), docs))
+    branches = classes.mapInArrow(_branches, "p long, q long, r long, id long, n long, bits binary")
+    # Rows that are alone with their first values go; those that stay keep their order.
+    regions = cut(_ordered(branches).mapInArrow(_regions, "p long, q long, r long, id long, n long, bits binary"))
+
+    # Each class tries the likeliest of its neighbours; a class has 2 * NEAR * TREES of them at most.
+    near = _apart(regions, None, None)
+    either = near.select(F.col("a").alias("u"), "a", "b", "k").unionByName(near.select(F.col("b").alias("u"), "a", "b", "k"))
+    likeliest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "a", "b"))), 1, TRIES)
+    tried = cut(either.groupBy("u").agg(likeliest.alias("x")).select(F.explode("x").alias("x")).select("x.a", "x.b").distinct())
+    roots = _join(None, _confirmed(cut(_likely(tried, classes)), docs))
     # Then all that are still apart.
-    rest = cut(_likely(_apart(candidates, roots).join(tried, ["a", "b"], "left_anti").select("a", "b"), classes))
+    rest = cut(_likely(_apart(regions, roots, tried).select("a", "b"), classes))
     roots = _join(roots, _confirmed(rest, docs))
 
     parts = reps.join(roots, "id", "left").select("f1", "f2", "n", F.coalesce("root", "id").alias("component_id"))
