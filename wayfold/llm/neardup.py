@@ -5,19 +5,21 @@
 2. A class gets ``TREES * DEPTH`` MinHash values. Tree t orders all classes by DEPTH of them and, below that, by
    DEEPER more: one range sort holds all trees, so that regions, however large, are spread over tasks.
 3. Candidates are neighbours in a tree that agree on the first DEPTH values at least: nearest first, those whose
-   common prefix is longest. A region of up to ``NEAR + 1`` classes has all its pairs; a larger one is searched
+   common prefix is longest. A region of up to ``NEAR + 1`` classes has all its pairs; a larger one is first searched
    at the depth at which its classes still have neighbours, which is where the sort puts like ones side by side.
    Pairs that the sizes or the MinHash values rule out are left out on the spot: a class's row carries both.
 4. Each class tries a few of its likeliest neighbours (most MinHash bits agree) on the full sets, and components that a link joins become one. Then all candidates that still lie in different
    components are tried too. These pairs are gathered anew from the trees' rows, which carry their
-   components: pairs within one are not even made. So the work on a large group of near
-   copies is a few tries a member, not its pairs, and no candidate is left out.
-5. Components: alternating large-star and small-star joins until nothing changes.
+   components: pairs within one are not even made.
+5. Regions that are larger, or that lie on both sides of an edge between tasks, and have classes of several
+   components left: there each class outside the region's largest component is compared with all classes of other
+   components, in blocks. So the work on a large group of near copies is a few tries a member and those that
+   stay apart times all, and no candidate is left out.
+6. Components: alternating large-star and small-star joins until nothing changes.
 
 A pair at the similarity 0.75 misses every tree with a probability of 1e-8 ((1 - 0.75^4)^64 is 3e-11; 52 trees:
 2.7e-9). What the MinHash values rule out lies 5 standard deviations below (their last bits) or 5.6 (the values).
-In a region larger than NEAR + 1 a pair is met only where both stand near each other in some tree's order; members of
-such groups have many links, and one is enough (figures in the README).
+That holds in regions of any size.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z. Defined results: a text of fewer words has its whole
 sequence as one shingle; a null or empty text, or one without words, has an empty set and is linked with nothing; repeated rows of a
@@ -42,6 +44,8 @@ PERCENT = 75
 TREES, DEPTH, DEEPER = 52, 4, 8
 #: Neighbours on either side that a class is compared with in a tree.
 NEAR = 9
+#: Classes of a large region that are compared with so many others at once.
+BLOCK = 4096
 #: How many of its likeliest neighbours a class tries before all that are left are tried.
 TRIES = 4
 #: Neighbours whose MinHash values agree in fewer last bits are no candidates; at 0.75, 182 of 208 do, with a deviation of 4.8.
@@ -119,22 +123,23 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows those that share p with the row before or after."""
+    """Of sorted rows those that share p with the row before or after; and the first and the last row, marked edge."""
     last, met = None, False
     for b in batches:
         if not b.num_rows:
             continue
+        b = pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(b.num_rows) == (0 if last is None else -1))], names=[*b.schema.names, "edge"])
         if last is not None:
             b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
         p = np.asarray(b.column("p"))
         same = p[1:] == p[:-1]
-        keep = np.concatenate([[met], same])
+        keep = np.concatenate([[met or last is None], same])
         keep[:-1] |= same
         last, met = b.slice(b.num_rows - 1), bool(keep[-1])
         keep[-1] = False
         yield b.filter(pa.array(keep))
-    if met:
-        yield last
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([*last.columns[:-1], pa.array([True])], names=last.schema.names)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +168,33 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, ids, n, roots, bits = p[-NEAR:], ids[-NEAR:], n[-NEAR:], roots[-NEAR:], bits[-NEAR:]
 
 
+def _across(t: pa.Table) -> pa.Table:
+    """Pairs a < b of outer rows (outer) with all rows of other roots that sizes and MinHash values don't rule out, where this is the first tree that both share."""
+    v = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, _VALUES)
+    bits = np.zeros((len(v), -(-_VALUES // 64) * 8), np.uint8)
+    bits[:, : _VALUES // 8] = np.packbits((v & 1).astype(np.uint8), axis=1)
+    bits = bits.view(np.uint64)
+    ids, n, roots, tree = (t.column(c).to_numpy() for c in ("id", "n", "root", "tree"))
+    outer = t.column("outer").to_numpy()
+    rest = np.flatnonzero(~outer)
+    rest_bits, rest_n, rest_roots, rest_ids = bits[rest], n[rest], roots[rest], ids[rest]
+    # Of two outer rows the smaller id asks.
+    sides = t.column("side").to_numpy()[rest]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(outer):
+        at = np.flatnonzero(np.bitwise_count(rest_bits ^ bits[i]).sum(axis=1, dtype=np.int64) <= _VALUES - AGREE_BITS)
+        at = at[(rest_roots[at] != roots[i]) & (~sides[at] | (rest_ids[at] > ids[i]))]
+        at = at[100 * np.minimum(rest_n[at], n[i]) >= PERCENT * np.maximum(rest_n[at], n[i])]
+        for k in range(0, len(at), 1024):
+            some = at[k : k + 1024]
+            same = v[rest[some]] == v[i]
+            first = same.reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1)
+            some = some[(np.count_nonzero(same, axis=1) >= AGREE) & (first == tree[i])]
+            out.append((np.minimum(rest_ids[some], ids[i]), np.maximum(rest_ids[some], ids[i])))
+    a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs a, b whose MinHash values (sa, sb) don't rule a link out."""
     for b in batches:
@@ -232,8 +264,9 @@ def _apart(regions: DataFrame, roots: DataFrame | None, tried: DataFrame | None)
     else:
         of = roots.select("id", F.col("root").alias("of"))
         few = small(of)
-        rows = regions.join(F.broadcast(of) if few else of, "id", "left").select("p", "q", "r", "id", "n", "bits", F.coalesce("of", "id").alias("root"))
-        rows = rows if few else _ordered(rows)  # a broadcast join leaves the rows where they are
+        rows = regions.join(F.broadcast(of) if few else of, "id", "left").select("p", "q", "r", "id", "n", "bits", "part", F.coalesce("of", "id").alias("root"))
+        # A broadcast join leaves the rows where they are; otherwise those of one task come together again.
+        rows = rows if few else rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("p", "q", "r", "id")
     found = rows.select("p", "id", "n", "bits", "root").mapInArrow(_neighbours, "a long, b long, k long")
     if tried is None:
         return found.groupBy("a", "b").agg(F.max("k").alias("k"))
@@ -241,6 +274,24 @@ def _apart(regions: DataFrame, roots: DataFrame | None, tried: DataFrame | None)
     return marked.groupBy("a", "b").agg(F.max("k").alias("k"), F.min("new").alias("new")).where("new").select("a", "b", "k")
 
 
+def _left(regions: DataFrame, roots: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+    """a, b in different components that have not been tried, of regions that are large or lie across an edge."""
+    of = roots.select("id", F.col("root").alias("of"))
+    rows = regions.select("p", "id", "n", "edge").join(F.broadcast(of) if small(of) else of, "id", "left").select("p", "id", "n", "edge", F.coalesce("of", "id").alias("root"))
+    per = rows.groupBy("p", "root").agg(F.count("*").alias("c"), F.max("edge").alias("edge"))
+    per = per.groupBy("p").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.max("edge").alias("edge"))
+    # Blocks of the rows outside the main component, and of all.
+    few = cut(per.where((F.col("roots") > 1) & (F.col("edge") | (F.col("m") > NEAR + 1))).select("p", "main", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("across"), F.ceil(F.col("m") / BLOCK).cast("int").alias("down")))
+    rows = rows.join(F.broadcast(few) if small(few) else few, "p")
+    rows = rows.withColumn("side", F.col("root") != F.col("main")).withColumn("i", F.expr("cast(pmod(xxhash64(id, 1), across) as int)")).withColumn("j", F.expr("cast(pmod(xxhash64(id, 2), down) as int)"))
+    places = """inline(concat(transform(sequence(0, across - 1), x -> named_struct('u', x, 'v', j, 'outer', false)),
+      if(side, transform(sequence(0, down - 1), x -> named_struct('u', i, 'v', x, 'outer', true)), array())))"""
+    rows = rows.select("p", "id", "n", "root", "side", F.expr(places)).withColumn("tree", F.expr("cast(shiftrightunsigned(p, 57) as int)"))
+    rows = rows.join(classes.select("id", "sig"), "id")
+    found = rows.groupBy("p", "u", "v").applyInArrow(_across, "a long, b long")
+    return found.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _join(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """roots (id, root) after the components of linked ids are joined; links between roots are what the joins work on."""
     if roots is None:
@@ -261,7 +312,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = cut(classes.select("id", "n", "sig"))
     branches = classes.mapInArrow(_branches, "p long, q long, r long, id long, n long, bits binary")
     # Rows that are alone with their first values go; those that stay keep their order.
-    regions = cut(_ordered(branches).mapInArrow(_regions, "p long, q long, r long, id long, n long, bits binary"))
+    regions = cut(_ordered(branches).mapInArrow(_regions, "p long, q long, r long, id long, n long, bits binary, edge boolean").withColumn("part", F.spark_partition_id()))
 
     # Each class tries the likeliest of its neighbours; a class has 2 * NEAR * TREES of them at most.
     near = _apart(regions, None, None)
@@ -269,9 +320,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     likeliest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "a", "b"))), 1, TRIES)
     tried = cut(either.groupBy("u").agg(likeliest.alias("x")).select(F.explode("x").alias("x")).select("x.a", "x.b").distinct())
     roots = _join(None, _confirmed(cut(_likely(tried, classes)), docs))
-    # Then all that are still apart.
+    # Then all that are still apart; first those near each other, then all that the windows left out.
     rest = cut(_likely(_apart(regions, roots, tried).select("a", "b"), classes))
     roots = _join(roots, _confirmed(rest, docs))
+    left = cut(_left(regions, roots, classes, tried.unionByName(rest)))
+    roots = _join(roots, _confirmed(left, docs))
 
     parts = reps.join(roots, "id", "left").select("f1", "f2", "n", F.coalesce("root", "id").alias("component_id"))
     own = signed.select("doc_id", "n", "f1", "f2").join(parts, ["f1", "f2", "n"], "left")
