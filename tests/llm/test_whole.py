@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from wayfold.llm import neardup
+from wayfold.llm import neardup, sharding
 
 
 def _brute(texts):
@@ -49,3 +49,13 @@ def test_op9_large_group_with_weak_links(spark):
     want = _brute(texts)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_op7_large_groups_in_as_few_shards_as_hold_them(spark):
+    sizes = {"a": 600, "b": 220, "c": 200, "d": 140}  # of 1,800 rows in 8 shards of 225
+    texts = [t for t, n in sizes.items() for _ in range(n)] + [f"{i % 40}" for i in range(320)] + [f"alone {i}" for i in range(320)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shards = {t: {got[i] for i, x in rows if x == t} for t in sizes}
+    assert {t: len(s) for t, s in shards.items()} == {"a": 3, "b": 1, "c": 1, "d": 1}
+    assert sorted(np.bincount(list(got.values())).tolist()) == [225] * 8

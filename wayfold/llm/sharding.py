@@ -3,8 +3,10 @@
 Members of a group of equal texts are alike, so its state is how many of them each shard has. In a round,
 every group asks to bring its members to the shard that has most of them. Quotas keep the shards' linked rows
 where they were or below the shard's quota: as many rows may go from shard i to j as come back, and more while
-j is below quota. Requests are admitted in a hashed order up to those amounts, a group's in part if need be. A
-group larger than half a quota is treated as several groups. At the end unlinked documents fill the shards up
+j is below quota. Requests are admitted in a hashed order up to those amounts, a group's in part if need be.
+Groups larger than 1 / ``BIG`` of a quota (few) are placed first, the largest first and each as one unit: in the
+fullest shard that has room for it, or, if none has, in as few shards as hold it. They stay there; the others
+start in proportion to the room that is left. At the end unlinked documents fill the shards up
 to sizes that differ by one row at most.
 
 Nothing is ranked in one task: ranks and running sums are taken within hashed cells, whose totals are summed
@@ -26,6 +28,8 @@ from wayfold.llm.common import cut
 SHARDS = 8
 ROUNDS = 3
 SALTS = 256
+#: Groups larger than this part of a quota are placed one by one; at most SHARDS * BIG are.
+BIG = 32
 #: Rows a cell has about, and the most cells.
 CELL_ROWS, CELLS = 500, 65_536
 
@@ -57,6 +61,20 @@ def _admit(want: list[list[int]], free: list[int]) -> list[list[int]]:
     return out
 
 
+def _place(groups: list[tuple[int, int]], quota: list[int]) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(h, shard, rows) of groups (h, rows), each in as few shards as the room allows; and the room that is left."""
+    room, out = list(quota), []
+    for h, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+        while n:
+            fits = [s for s, x in enumerate(room) if x >= n]
+            s = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+            c = min(n, room[s])
+            out.append((h, s, c))
+            room[s] -= c
+            n -= c
+    return out, room
+
+
 def _spill(state: DataFrame, load: list[int], quota: list[int], cells: int) -> DataFrame:
     """state with what a shard has beyond its quota moved to shards below theirs (where nearly all rows are linked)."""
     need = {t: q - x for t, (x, q) in enumerate(zip(load, quota, strict=True)) if x < q}
@@ -90,12 +108,18 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     per = base.where("g is not null").groupBy("g", "salt").agg(F.count("*").alias("c"))
     group = Window.partitionBy("g")
     before = group.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    most = max(1, quota[-1] // 2)
-    per = per.select("g", "salt", "c", F.sum("c").over(group).alias("n"), F.coalesce(F.sum("c").over(before), F.lit(0).cast("long")).alias("all_before")).where("n > 1")
-    per = per.withColumn("part", F.when(F.col("n") > most, F.floor(F.col("all_before") / most)).otherwise(0)).withColumn("h", F.xxhash64("g", "part"))
-    per = cut(per.withColumn("off", F.coalesce(F.sum("c").over(Window.partitionBy("h").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).select("g", "salt", "c", "h", "off"))
-
-    state = cut(per.groupBy("h", F.pmod(F.col("salt"), F.lit(shards)).cast("int").alias("s")).agg(F.sum("c").alias("c")))
+    per = per.select("g", "salt", "c", F.sum("c").over(group).alias("n"), F.coalesce(F.sum("c").over(before), F.lit(0).cast("long")).alias("off")).where("n > 1")
+    per = cut(per.withColumn("h", F.xxhash64("g", F.lit(0))))
+
+    spark = documents.sparkSession
+    big = F.col("n") * BIG > max(1, quota[-1])
+    put, room = _place([(r.h, r.n) for r in per.where(big).groupBy("h").agg(F.sum("c").alias("n")).collect()], quota)  # shards * BIG at most
+    fixed = cut(spark.createDataFrame(put, "h long, s int, c long"))
+    # The others' members start where room is left.
+    ends = [sum(room[: s + 1]) / max(1, sum(room)) for s in range(shards)]
+    u = F.pmod(F.xxhash64("h", "salt"), F.lit(1 << 20)) / F.lit(1 << 20)
+    start = F.coalesce(*(F.when(u < x, s) for s, x in enumerate(ends)), F.lit(max(range(shards), key=lambda s: room[s]))).cast("int")
+    state = cut(per.where(~big).groupBy("h", start.alias("s")).agg(F.sum("c").alias("c")))
     for _ in range(rounds):
         # Each group's target: the shard that has most of its members.
         target = state.groupBy("h").agg(F.max_by("s", F.struct("c", F.xxhash64("h", "s"))).alias("t"))
@@ -106,7 +130,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         if not any(map(sum, want)):
             break
         load = {r.s: r.c for r in state.groupBy("s").agg(F.sum("c").alias("c")).collect()}
-        admitted = _admit(want, [q - load.get(s, 0) for s, q in enumerate(quota)])
+        admitted = _admit(want, [q - load.get(s, 0) for s, q in enumerate(room)])
         if not any(map(sum, admitted)):
             break
         limit = F.array(*(F.array(*(F.lit(x).cast("long") for x in row)) for row in admitted))
@@ -115,7 +139,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         state = cut(state.select("h", "s", "c").unionByName(changes).groupBy("h", "s").agg(F.sum("c").alias("c")).where("c > 0"))
 
     loads = {r.s: r.c for r in state.groupBy("s").agg(F.sum("c").alias("c")).collect()}
-    state = _spill(state, [loads.get(s, 0) for s in range(shards)], quota, cells)
+    state = _spill(state, [loads.get(s, 0) for s in range(shards)], room, cells).select("h", "s", "c").unionByName(fixed)
 
     # Of a group's members by rank, those from lo to hi are in s, at slots from first on.
     load = {r.s: r.c for r in state.groupBy("s").agg(F.sum("c").alias("c")).collect()}
@@ -133,8 +157,8 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     single = joined.where("plan is null").select(*order, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int").alias("cell"))
     ahead = _before(single.groupBy("cell").agg(F.count("*").alias("c")), [], "cell", "c", "ahead").select("cell", "ahead")
     rank = F.col("ahead") + F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1
-    room, start = [max(0, q - load.get(s, 0)) for s, q in enumerate(quota)], [0]
-    for x in room:
+    free, start = [max(0, q - load.get(s, 0)) for s, q in enumerate(quota)], [0]
+    for x in free:
         start.append(start[-1] + x)
     single = single.join(F.broadcast(ahead), "cell").withColumn("rank", rank)  # at most CELLS rows
     spot = F.coalesce(*(F.when(F.col("rank") < start[s + 1], F.struct(F.lit(s).alias("shard"), (F.col("rank") - start[s] + load.get(s, 0)).alias("slot"))) for s in range(shards)))
