@@ -51,6 +51,34 @@ def test_op9_large_group_with_weak_links(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def _components(spark, texts):
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_op9_links_under_a_shared_passage(spark):
+    # 2,400 texts of one passage and own words (0.74 to each other) and 200 that each link to one of them.
+    rng = np.random.default_rng(11)
+    passage = [f"b{k}" for k in range(220)]
+    own = [[f"o{i}_{k}" for k in range(38)] for i in range(2400)]
+    texts = [" ".join(passage + o) for o in own] + [" ".join(passage + own[12 * i][:4] + [f"x{i}_{k}" for k in range(34)]) for i in range(200)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    want = _brute(texts)
+    assert sum(w != i for i, w in enumerate(want)) == 200
+    assert _components(spark, texts) == want
+
+
+def test_op9_all_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    docs = sorted((r.doc_id, r.text) for r in docs)
+    texts = [t or "" for _, t in docs]
+    some = [i for i, t in enumerate(texts) if t.split()]
+    want = list(range(len(texts)))
+    for i, w in zip(some, _brute([texts[i] for i in some]), strict=True):
+        want[i] = some[w]
+    assert _components(spark, texts) == want
+
+
 def test_op7_large_groups_in_as_few_shards_as_hold_them(spark):
     sizes = {"a": 600, "b": 220, "c": 200, "d": 140}  # of 1,800 rows in 8 shards of 225
     texts = [t for t, n in sizes.items() for _ in range(n)] + [f"{i % 40}" for i in range(320)] + [f"alone {i}" for i in range(320)]

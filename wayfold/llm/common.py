@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fit(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df, of about so many narrow rows, in as few partitions as hold so many each; a job with thousands of tasks is not spent on a few rows."""
+    return df.coalesce(max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // each + 1)))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df (already computed, narrow rows) has no more than so many rows."""
     return df.limit(rows + 1).count() <= rows
