@@ -167,6 +167,49 @@ def test_op5(spark, docs, empty):
     assert toxicity.score(docs, none).where("score <> 0").count() == 0 and toxicity.score(empty, none).count() == 0
 
 
+def _kneser_ney(train, discount):
+    """log P(word | toxic) - log P(word | ordinary) of texts' words, from (words, class) rows; in plain Python."""
+    cont = [{}, {}]
+    for words, k in train:
+        for v, w in zip([None, *words], words, strict=False):
+            cont[k].setdefault(w, set()).add(v)
+    c = [{w: len(v) for w, v in x.items()} for x in cont]
+    both = Counter(c[0]) + Counter(c[1])
+    n1, n2 = sum(v == 1 for v in both.values()), sum(v == 2 for v in both.values())
+    d = n1 / (n1 + 2 * n2)
+    n, freed = [sum(x.values()) for x in c], [sum(min(v, discount) for v in x.values()) for x in c]
+
+    def llr(w):
+        shared = (max(both[w] - d, 0) + d * len(both) / (len(both) + 1)) / sum(n)
+        p = [(max(c[k].get(w, 0) - discount, 0) + freed[k] * shared) / n[k] for k in (0, 1)]
+        return np.log(p[1]) - np.log(p[0])
+
+    return llr
+
+
+@pytest.mark.parametrize("table_rows", [10**6, 0])
+def test_op5_by_brute_force(spark, docs, table_rows):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join([f"v{x}" for x in rng.zipf(1.4, int(rng.integers(1, 30))) % 60] + ["rotten", "filth"] * (i % 4 == 0))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, "unknown Rotten"), (None, "rotten filth"), (1003, "v1")]
+    labels = [(i, int(i % 4 == 0)) for i in range(300)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), table_rows=table_rows).collect()
+    train = [(WORD.findall(low(t)), labels[i][1]) for i, t in rows[:300] if zlib.crc32(str(i).encode()) % 5]
+    models = [_kneser_ney(train, d) for d in toxicity.DISCOUNTS]
+    found = {r.doc_id: r for r in got}
+    assert len(got) == len(rows)
+    near = []
+    for i, t in rows:
+        w = WORD.findall(low(t))
+        for m in models:
+            x = [m(v) for v in w]
+            top = max((np.mean(x[j : j + toxicity.STRETCH]) for j in range(max(1, len(x) - toxicity.STRETCH + 1))), default=0) if x else toxicity.NOTHING
+            near.append((abs(found[i].stretch_llr - top), abs(found[i].text_llr - (np.mean(x) if x else toxicity.NOTHING))))
+    # One of the discounts explains all rows.
+    worst = np.array(near).reshape(len(rows), len(models), 2).max(axis=(0, 2))
+    assert worst.min() < 1e-9, worst
+
+
 def test_op6(spark, docs, empty):
     got = by_id(quality.judge(docs, []))
     for i, t in enumerate(TEXTS):
