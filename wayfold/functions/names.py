@@ -43,10 +43,6 @@ def path_start(path: Column) -> Column:
     return F.regexp_extract(path, r"^\s*([A-Za-z_]\w*)", 1)
 
 
-def hop_text(kind: Column, role: Column, assoc: Column) -> Column:
-    return F.when(kind == "A", F.concat(F.lit("->"), role, F.lit("["), assoc, F.lit("]"))).otherwise(F.concat(F.lit("."), role))
-
-
 def hop_property(owner: Column, kind: Column, role: Column) -> Column:
     """The property's name for a hop from (kind C) or by participation in (kind P) an owner."""
     return F.concat(F.lit("has"), owner, F.when(kind == "P", "Participant_").otherwise("Composition_"), role)
@@ -57,11 +53,29 @@ def union_text(paths: Column) -> Column:
     return F.when(F.size(paths) == 1, paths[0]).otherwise(F.concat(F.lit("{"), F.array_join(paths, " | "), F.lit("}")))
 
 
-# LaTeX's special characters and their escapes; the backslash comes first.
-LATEX = [("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}")]
+# LaTeX's special characters and their escapes. One pass over the text, so no escape is escaped again.
+LATEX = {"{": r"\{", "}": r"\}", "_": r"\_", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "^": r"\textasciicircum{}", "~": r"\textasciitilde{}"}
+BACKSLASH = r"\textbackslash\{\}"
 
 
 def latex_escape(x: Column) -> Column:
-    for a, b in LATEX:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    """x with LaTeX's special characters escaped; a backslash's own braces are escaped as all others are."""
+    out = F.replace(x, F.lit("\\"), F.lit("\x00"))
+    for a in ("{", "}", "_", "&", "%", "$", "#"):
+        out = F.replace(out, F.lit(a), F.lit(LATEX[a]))
+    out = F.replace(out, F.lit("\x00"), F.lit(BACKSLASH))
+    for a in ("^", "~"):
+        out = F.replace(out, F.lit(a), F.lit(LATEX[a]))
+    return out
+
+
+def truncated(items: Column, most: int) -> Column:
+    """items, or the first most - 1 of them and an ellipsis."""
+    return F.when(F.size(items) <= most, items).otherwise(F.concat(F.slice(items, 1, most - 1), F.array(F.lit("..."))))
+
+
+def latex_query(text: Column, most: int = 8, size: str = r"\scriptsize") -> Column:
+    """A query as LaTeX: its lines escaped and trimmed, empty ones left out, cut to so many."""
+    lines = F.filter(F.transform(F.split(latex_escape(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    body = F.array_join(F.transform(truncated(lines, most), lambda x: F.concat(F.lit(r"\texttt{"), x, F.lit("}"))), r" \\ ")
+    return F.concat(F.lit(rf"\begin{{minipage}}{{\linewidth}}\raggedright{size} "), body, F.lit(r" \end{minipage}"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.names import hop_property, path_start, path_steps, upper_bound
+from wayfold.operators.closure import cut
 
 
 def with_start(model: DataFrame) -> DataFrame:
@@ -18,11 +19,11 @@ def with_start(model: DataFrame) -> DataFrame:
 
 
 def classify(model: DataFrame) -> DataFrame:
-    """name and kind: association (it associates), entity (any other subject), observable (an object that is no subject)."""
+    """name and kind: association (it associates), entity (any other subject), observable (an object that is no subject: of a composition or a specialization; a path is no object)."""
     facts = model.where("predicate <> 'instance'")
     subjects = facts.groupBy(F.col("subject").alias("name")).agg(F.bool_or(F.col("predicate") == "associates").alias("a"))
     kinds = subjects.select("name", F.when(F.col("a"), "association").otherwise("entity").alias("kind"))
-    objects = facts.where("predicate = 'composes'").select(F.col("object_raw").alias("name")).distinct()
+    objects = facts.where("predicate <> 'associates'").select(F.col("object_raw").alias("name")).distinct()
     return kinds.unionByName(objects.join(subjects, "name", "left_anti").withColumn("kind", F.lit("observable")))
 
 
@@ -34,14 +35,29 @@ def attributes(model: DataFrame, entities: bool = False) -> DataFrame:
 
 
 def lookup(model: DataFrame) -> DataFrame:
-    """subject, rolename and to: the type that a role leads to, by the first tuple (a path object counts by its start)."""
+    """subject, rolename, to and predicate: the type that a role leads to, by the first tuple; a path object counts by where it leads in the end."""
     roles = with_start(model.where("predicate in ('composes', 'associates')"))
-    return roles.groupBy("subject", "rolename").agg(F.min_by("object", "seq").alias("to"))
+    first = roles.groupBy("subject", "rolename").agg(F.min_by(F.struct("object", "direct", "object_raw", "predicate"), "seq").alias("x")).select("subject", "rolename", "x.*")
+    known = first.where("direct").select("subject", "rolename", F.col("object").alias("to"), "predicate")
+    paths = first.where("not direct").select("subject", "rolename", F.col("object_raw").alias("path"), "predicate")
+    left = paths.count()
+    while left:  # a path may lead over roles whose objects are paths themselves
+        found = _walk(paths, known).withColumnRenamed("type", "to").where("to is not null").select("subject", "rolename", "to", "predicate")
+        known = cut(known.join(found, ["subject", "rolename"], "left_anti").unionByName(found))
+        paths = paths.join(known, ["subject", "rolename"], "left_anti")
+        left, before = paths.count(), left
+        if left == before:
+            break
+    return known
 
 
 def resolve(paths: DataFrame, model: DataFrame) -> DataFrame:
     """paths (path) with type: where each leads; null where a step is unknown. One join for each step's ordinal, over all paths."""
-    roles = F.broadcast(lookup(model))
+    return _walk(paths, lookup(model))
+
+
+def _walk(paths: DataFrame, roles: DataFrame) -> DataFrame:
+    roles = roles.select("subject", "rolename", "to")
     x = paths.withColumn("_steps", path_steps(F.col("path"))).withColumn("type", path_start(F.col("path")))
     longest = x.agg(F.max(F.size("_steps"))).first()[0] or 0
     for i in range(longest):
@@ -96,7 +112,17 @@ def model_centrality(model: DataFrame) -> DataFrame:
 def disjoint_pairs(names: DataFrame) -> DataFrame:
     """a < b of distinct names: what an ontology states to be disjoint. The result itself is n(n-1)/2 rows."""
     n = names.select("name").distinct()
-    return n.select(F.col("name").alias("a")).join(F.broadcast(n.select(F.col("name").alias("b"))), F.col("a") < F.col("b"))
+    return n.select(F.col("name").alias("a")).join(n.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """name and other for each pair (a, b), from either side."""
+    return pairs.select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("name"), F.col("a").alias("other"))).distinct()
+
+
+def one_way(links: DataFrame) -> DataFrame:
+    """a < b of each pair that links (name, other) state in either direction, once."""
+    return links.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).where("a <> b").distinct()
 
 
 def model_stats(model: DataFrame) -> DataFrame:
@@ -132,27 +158,40 @@ def restrictions(model: DataFrame, closure: DataFrame) -> DataFrame:
     return m.select(F.col("subject").alias("class"), F.col("predicate").alias("property"), F.col("object").alias("on_class"), F.inline(rows)).distinct()
 
 
-def ontology(model: DataFrame) -> DataFrame:
-    """Distinct triples of classes, subclasses, rolename properties and their upper properties."""
-    kinds = classify(model)
-    upper = F.initcap("kind")
-    fixed = [("Entity", "a", "Class"), ("Association", "a", "Class"), ("Observable", "a", "Class"), ("Observation", "a", "Class"), ("Association", "subClassOf", "Entity")]
-    out = model.sparkSession.createDataFrame(fixed, "s string, p string, o string")
-    parents = model.where("predicate = 'specializes'").select(F.col("subject").alias("s"), F.lit("subClassOf").alias("p"), F.col("object_raw").alias("o"))
-    roots = kinds.join(parents.select(F.col("s").alias("name")).distinct(), "name", "left_anti")
-    roles = model.where("predicate in ('composes', 'associates')").select(F.col("rolename").alias("s"), F.lit("subPropertyOf").alias("p"), F.col("predicate").alias("o"))
-    return out.unionByName(kinds.select(F.col("name").alias("s"), F.lit("a").alias("p"), F.lit("Class").alias("o"))).unionByName(roots.select(F.col("name").alias("s"), F.lit("subClassOf").alias("p"), upper.alias("o"))).unionByName(parents).unionByName(roles).distinct()
+def hop_rows(paths: DataFrame, model: DataFrame, whole: bool = False) -> DataFrame:
+    """path, ord, property, target and upper (the upper property) of each step of characteristics' paths; of the last one only if whole.
 
-
-def hop_rows(paths: DataFrame, model: DataFrame) -> DataFrame:
-    """path, ord, property and target of each step but the last of characteristics' paths."""
-    x = paths.select("path", F.posexplode(F.slice(path_steps(F.col("path")), F.lit(1), F.greatest(F.lit(0), F.size(path_steps(F.col("path"))) - 1))).alias("ord", "step"), path_steps(F.col("path")).alias("all"))
+    A step that the model does not know has a property and no target, and ends the path.
+    """
+    steps = path_steps(F.col("path"))
+    taken = steps if whole else F.slice(steps, F.lit(1), F.greatest(F.lit(0), F.size(steps) - 1))
+    x = paths.select("path", F.posexplode(taken).alias("ord", "step"), steps.alias("all"))
     head = F.concat(path_start(F.col("path")), F.array_join(F.slice("all", F.lit(1), F.col("ord")), ""))
     x = x.select("path", "ord", "step", head.alias("head"), F.concat(head, "step").alias("tail"))
-    types = resolve(x.select(F.col("head").alias("path")).union(x.select("tail")).distinct(), model)
-    x = x.join(F.broadcast(types.withColumnsRenamed({"path": "head", "type": "owner"})), "head").join(F.broadcast(types.withColumnsRenamed({"path": "tail", "type": "target"})), "tail")
-    kind = F.when(F.startswith("step", F.lit("->")), "P").otherwise("C")
-    return x.select("path", "ord", hop_property(F.col("owner"), kind, F.regexp_extract("step", r"^(?:\.|->)(\w+)", 1)).alias("property"), "target")
+    roles = lookup(model)
+    types = _walk(x.select(F.col("head").alias("path")).union(x.select("tail")).distinct(), roles)
+    x = x.join(types.withColumnsRenamed({"path": "head", "type": "owner"}), "head").join(types.withColumnsRenamed({"path": "tail", "type": "target"}), "tail")
+    x = x.where("owner is not null").withColumn("role", F.regexp_extract("step", r"^(?:\.|->)(\w+)", 1)).withColumn("back", F.startswith("step", F.lit("->")))
+    x = x.join(roles.select(F.col("subject").alias("owner"), F.col("rolename").alias("role"), "predicate"), ["owner", "role"], "left")
+    upper = F.when(F.col("back"), "isParticipantIn").otherwise(F.coalesce("predicate", F.lit("associates")))
+    return x.select("path", "ord", hop_property(F.col("owner"), F.when(F.col("back"), "P").otherwise("C"), F.col("role")).alias("property"), "target", upper.alias("upper"))
+
+
+def top_first(rows: DataFrame, name: str, score: str, order: str) -> DataFrame:
+    """One row: the name with the highest score, and the score; of several the first by order."""
+    best = rows.agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"), F.col(name).alias("n"))).alias("x"))
+    return best.where("x is not null").select(F.col("x.n").alias(name), F.col("x.s").alias(score))
+
+
+def associations_of(model: DataFrame) -> DataFrame:
+    """entity, association, rolename and target: where an entity takes part itself, each other direct participant; where
+    a participant's path starts from it, the type that the path leads to."""
+    m = with_start(model.where("predicate = 'associates'"))
+    direct = m.where("direct").select("subject", "rolename", "object")
+    others = direct.select("subject", F.col("rolename").alias("r2"), F.col("object").alias("target"))
+    near = direct.join(others, "subject").where("rolename <> r2").select(F.col("object").alias("entity"), F.col("subject").alias("association"), "rolename", "target")
+    far = resolve(m.where("not direct").select(F.col("object_raw").alias("path"), "subject", "rolename", "object"), model)
+    return near.unionByName(far.where("type is not null").select(F.col("object").alias("entity"), F.col("subject").alias("association"), "rolename", F.col("type").alias("target")))
 
 
 def tuple_text(model: DataFrame) -> DataFrame:

@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="wayfold-"))
     return df.checkpoint(eager=True)
 
 
-def ancestors(edges: DataFrame, most: int = 64) -> DataFrame:
-    """child, ancestor and depth (the shortest) for edges (child, parent); each round joins only the pairs that are new."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """child, ancestor and depth (the shortest) for edges (child, parent), to any depth; each round joins only the pairs that are new."""
     edges = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
-    new = _cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    out = new
-    for depth in range(2, most + 2):
+    new = cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    out, depth = new, 1
+    while True:
+        depth += 1
         nxt = new.join(edges.withColumnRenamed("child", "ancestor"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        new = _cut(nxt.join(out, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = cut(nxt.join(out, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return out
-        out = _cut(out.unionByName(new))
-    raise RuntimeError(f"deeper than {most}")
+        out = cut(out.unionByName(new))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.closure import cut
 from wayfold.plans.binder import Pattern
 
 
@@ -49,10 +50,12 @@ def rows(triples: DataFrame, patterns: Sequence[Pattern], query: int, most: int
     That is a product by the pattern's meaning; it is refused beyond so many rows.
     """
     own = [p for p in patterns if p.query == query]
-    found = match(triples, own)
+    # One scan of the triples serves the count and every projection.
+    found = cut(match(triples, own))
+    counts = {r.proj: r.n for r in found.groupBy("proj").agg(F.count("*").alias("n")).collect()}  # a row a projection
     size = 1
-    for r in projections(triples, own).collect():  # a row a projection
-        size *= r.n
+    for i in {p.proj for p in own}:
+        size *= counts.get(i, 0)
     if size > most:
         raise ValueError(f"{size} combinations; ask verify(), or raise most")
     out = None
@@ -63,24 +66,28 @@ def rows(triples: DataFrame, patterns: Sequence[Pattern], query: int, most: int
 
 
 def individual_triples(individuals: DataFrame) -> DataFrame:
-    """Distinct triples of individuals (name, observable, start, hops: array of (property, target))."""
+    """Triples of individuals (name, observable, start, hops: array of (property, target)); distinct where the individuals are."""
     fixed = F.array(F.struct(F.lit("a").alias("p"), F.lit("Observation").alias("o")), F.struct(F.lit("hasObservable").alias("p"), F.col("observable").alias("o")), F.struct(F.concat(F.lit("has"), "start").alias("p"), F.col("start").alias("o")))
     hops = F.transform("hops", lambda h: F.struct(h.property.alias("p"), h.target.alias("o")))
-    return individuals.select(F.col("name").alias("s"), F.inline(F.concat(fixed, hops))).distinct()
+    return individuals.select(F.col("name").alias("s"), F.inline(F.array_distinct(F.concat(fixed, hops))))
 
 
 def individual_names(shown: DataFrame) -> DataFrame:
-    """shown (characteristic, seq) with name: the characteristic, and _n at its n-th repetition by seq.
+    """shown (characteristic, seq) with name: the characteristic, and _n at its n-th repetition by seq; a null one has a null name.
 
     Ranks are taken within cells of seq's order, so one frequent characteristic is no hot key.
     """
     from pyspark.sql import Window
 
     cells = 256
-    edges = shown.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    x = shown.join(F.broadcast(edges)).withColumn("cell", F.least(F.lit(cells - 1), F.floor((F.col("seq") - F.col("lo")) * cells / F.greatest(F.lit(1), F.col("hi") - F.col("lo") + 1))).cast("int"))
-    before = Window.partitionBy("characteristic").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = x.groupBy("characteristic", "cell").agg(F.count("*").alias("c")).withColumn("ahead", F.coalesce(F.sum("c").over(before), F.lit(0).cast("long")))
-    n = F.col("ahead") + F.row_number().over(Window.partitionBy("characteristic", "cell").orderBy("seq")) - 1
-    x = x.join(counts.drop("c"), ["characteristic", "cell"]).withColumn("n", n)
-    return x.select(*shown.columns, F.when(F.col("n") == 0, F.col("characteristic")).otherwise(F.concat_ws("_", "characteristic", F.col("n").cast("string"))).alias("name"))
+    x = shown.select(F.struct("*").alias("row"), F.col("characteristic").alias("c"), F.col("seq").cast("decimal(38,6)").alias("at"))
+    edges = x.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    # Cells by the share of the range, so that no product overflows; a null seq comes first of all.
+    share = (F.col("at") - F.col("lo")).cast("double") / F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo")).cast("double"))
+    x = x.join(F.broadcast(edges)).withColumn("cell", F.when(F.col("at").isNull(), -1).otherwise(F.least(F.lit(cells - 1), F.floor(share * cells))).cast("int"))
+    before = Window.partitionBy("c").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy("c", "cell").agg(F.count("*").alias("n")).select(F.col("c").alias("c2"), F.col("cell").alias("cell2"), F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("ahead"))
+    x = x.join(counts, F.col("c").eqNullSafe(F.col("c2")) & (F.col("cell") == F.col("cell2")))
+    x = x.withColumn("n", F.col("ahead") + F.row_number().over(Window.partitionBy("c", "cell").orderBy("at")) - 1)
+    name = F.when(F.col("n") == 0, F.col("c")).otherwise(F.concat(F.col("c"), F.lit("_"), F.col("n").cast("string")))
+    return x.select("row.*", name.alias("name"))

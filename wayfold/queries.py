@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions.names import latex_escape, local_name, path_start, path_steps, union_text
-from wayfold.operators import analysis, observation
+from wayfold.functions.names import latex_escape, latex_query, local_name, path_start, path_steps, union_text
+from wayfold import document_queries
+from wayfold.operators import analysis, observation, ontology
 from wayfold.operators.closure import ancestors
 from wayfold.operators.instance import Binding, Catalog, execute
 from wayfold.plans.binder import Pattern, bind, patterns
 from wayfold.plans.grammar import parse_query
+from wayfold.plans.progressive import progressive
 from wayfold.sources.model import Model, frame, parse_model
 
 # --- Instance mode: the tables as a model ----------------------------------------------------------
@@ -243,7 +245,15 @@ MODEL = """(Vehicle, composes[1, 1], Hull, hull)
 (Gauge_Observe_Hull, associates, Probe)
 (Gauge_Observe_Hull, associates, Hull, observed)
 (Gauge_Observe_Hull, composes, Validity)
-(Car, specializes, Truck)"""
+(Car, specializes, Truck)
+(Probe, specializes, Device)"""
+
+#: Individuals of observables; one path has a step that the model does not know.
+INSTANCES = """
+(Place, instance, Vehicle.hull.place, place)
+(Heat, instance, Vehicle->assembly[Vehicle_PartOf_Motor].part.heat, heat)
+(Heat, instance, Probe_Observe_Motor.observed.heat, heat_1)
+(Size, instance, Vehicle.wheel.size, size)"""
 
 MODEL_QUERIES = [
     "SELECT hull.place, Vehicle.serial FROM Vehicle JOIN Hull AS hull ON Vehicle.hull",
@@ -252,24 +262,57 @@ MODEL_QUERIES = [
 ]
 PATHS = ["Vehicle.hull.place", "Vehicle->assembly[Vehicle_PartOf_Motor].part.heat", "Vehicle.motor->observed[Probe_Observe_Motor].observer.mode", "Vehicle.wheel.size", "Motor", "Probe->observer[Probe_Observe_Motor].validity"]
 
-_LINES = "lines(seq, line) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(MODEL.split("\n"))) + ")"
-TUPLES_SQL = (
-    _LINES + r""",
+
+def _lines(text: str) -> str:
+    return "lines(seq, line) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(text.split("\n"))) + ")"
+
+
+_TUPLES = r""",
   cells AS (SELECT seq, list_transform(regexp_extract_all(line[2:-2], '(?:\[[^\]]*\]|[^,\[])+'), lambda x: trim(x)) AS c FROM lines),
   tuples AS (SELECT seq, c[1] AS subject, trim(regexp_extract(c[2], '^[^\[]*')) AS predicate, c[3] AS object_raw, c[2] AS spec,
     coalesce(c[4], lower(regexp_extract(c[3], '([A-Za-z_0-9]+)$', 1)[1]) || regexp_extract(c[3], '([A-Za-z_0-9]+)$', 1)[2:]) AS rolename,
     list_filter(list_transform(string_split_regex(regexp_replace(regexp_extract(c[2], '\[.*$'), '[\[\]]+', ',', 'g'), ','), lambda x: trim(x)), lambda x: x <> '') AS given FROM cells),
   model AS (SELECT seq, subject, predicate, object_raw, rolename, CASE WHEN len(given) > 0 THEN given WHEN predicate = 'composes' THEN ['1', '1'] WHEN predicate = 'associates' THEN ['-1', '-1', '-1', '-1'] END AS mult,
-    CASE WHEN predicate = 'associates' THEN regexp_extract(object_raw, '^[A-Za-z_0-9]+') ELSE object_raw END AS object, predicate <> 'associates' OR NOT regexp_matches(object_raw, '[.>]') AS direct FROM tuples),
-  kinds AS (SELECT subject AS name, CASE WHEN bool_or(predicate = 'associates') THEN 'association' ELSE 'entity' END AS kind FROM model GROUP BY subject
-    UNION ALL SELECT DISTINCT object_raw, 'observable' FROM model WHERE predicate = 'composes' AND object_raw NOT IN (SELECT subject FROM model))"""
-)
+    CASE WHEN predicate IN ('associates', 'instance') THEN regexp_extract(object_raw, '^[A-Za-z_0-9]+') ELSE object_raw END AS object, predicate NOT IN ('associates', 'instance') OR NOT regexp_matches(object_raw, '[.>]') AS direct FROM tuples),
+  facts AS (SELECT * FROM model WHERE predicate <> 'instance'),
+  kinds AS (SELECT subject AS name, CASE WHEN bool_or(predicate = 'associates') THEN 'association' ELSE 'entity' END AS kind FROM facts GROUP BY subject
+    UNION ALL SELECT DISTINCT object_raw, 'observable' FROM facts WHERE predicate <> 'associates' AND object_raw NOT IN (SELECT subject FROM facts))"""
+TUPLES_SQL = _lines(MODEL) + _TUPLES
+_ALL_SQL = _lines(MODEL + INSTANCES) + _TUPLES
+
+# Where paths lead: first the roles of direct objects, then those whose objects are paths, then the paths asked for.
+_STEPS = r"regexp_extract_all({x}, '(\.[A-Za-z_0-9]+|->[A-Za-z_0-9]+\[[A-Za-z_0-9]+\])')"
+
+
+def _walk_sql(name: str, source: str, roles: str) -> str:
+    """name(path, steps, n, here): where each path of source stands after n steps; null after an unknown one."""
+    return f"""{name}(path, steps, n, here) AS (SELECT path, {_STEPS.format(x='path')}, 0, regexp_extract(path, '^[A-Za-z_0-9]+') FROM {source}
+    UNION ALL SELECT w.path, w.steps, w.n + 1, CASE WHEN starts_with(w.steps[w.n + 1], '->') THEN regexp_extract(w.steps[w.n + 1], '\\[(.*)\\]', 1) ELSE r.leads END
+      FROM {name} w LEFT JOIN {roles} r ON r.subject = w.here AND '.' || r.rolename = w.steps[w.n + 1] WHERE w.n < len(w.steps))"""
+
+
+def _roles_sql(paths: str) -> str:
+    """CTEs after tuples: roles(subject, rolename, leads, predicate) and walk over paths(path)."""
+    return f"""first_role AS (SELECT subject, rolename, arg_min(object, seq) AS leads, arg_min(predicate, seq) AS predicate, arg_min(direct, seq) AS direct, arg_min(object_raw, seq) AS path FROM facts WHERE predicate IN ('composes', 'associates') GROUP BY ALL),
+  plain AS (SELECT * FROM first_role WHERE direct), far AS (SELECT DISTINCT path FROM first_role WHERE NOT direct), {_walk_sql('inner_walk', 'far', 'plain')},
+  roles AS (SELECT subject, rolename, leads, predicate FROM plain UNION ALL SELECT f.subject, f.rolename, w.here, f.predicate FROM first_role f JOIN inner_walk w USING (path) WHERE NOT f.direct AND w.n = len(w.steps) AND w.here IS NOT NULL),
+  {paths}, {_walk_sql('walk', 'paths', 'roles')}"""
+
+
+_HOPS_SQL = """hops AS (SELECT w.path, w.n::INT AS ord, 'has' || w.here || CASE WHEN starts_with(step, '->') THEN 'Participant_' ELSE 'Composition_' END || role AS property, v.here AS target, len(w.steps) AS steps,
+    CASE WHEN starts_with(step, '->') THEN 'isParticipantIn' ELSE coalesce(r.predicate, 'associates') END AS upper
+    FROM (SELECT *, steps[n + 1] AS step, regexp_extract(steps[n + 1], '^(?:\\.|->)([A-Za-z_0-9]+)', 1) AS role FROM walk WHERE n < len(steps) AND here IS NOT NULL) w
+    JOIN walk v ON v.path = w.path AND v.n = w.n + 1 LEFT JOIN roles r ON r.subject = w.here AND r.rolename = w.role)"""
 
 
 def _model(spark: SparkSession) -> DataFrame:
     return frame(spark, MODEL)
 
 
+def _whole(spark: SparkSession) -> DataFrame:
+    return frame(spark, MODEL + INSTANCES)
+
+
 def _bound():
     m: Model = parse_model(MODEL)
     return m, [bind(parse_query(q), m) for q in MODEL_QUERIES]
@@ -329,10 +372,12 @@ def prefix_closure(spark, sf_dir):
 
 
 def path_deps(spark, sf_dir):
+    # Each prefix's own shorter prefixes, kept where they are prefixes of the paths: an equi-join.
     x = prefix_closure(spark, sf_dir)
-    a, b = x.alias("a"), x.alias("b")
-    step = F.expr("substr(a.prefix, length(b.prefix) + 1)")
-    return a.join(b, (F.col("a.depth") > F.col("b.depth")) & F.expr("startswith(a.prefix, b.prefix)") & step.rlike(r"^(\.|->)")).select(F.col("a.prefix").alias("path"), F.col("b.prefix").alias("needs"))
+    steps = path_steps(F.col("prefix"))
+    shorter = x.where("depth > 0").select(F.col("prefix").alias("path"), steps.alias("steps"), F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("n"))
+    shorter = shorter.select("path", F.concat(path_start(F.col("path")), F.array_join(F.slice("steps", F.lit(1), F.col("n")), "")).alias("needs"))
+    return shorter.join(x.select(F.col("prefix").alias("needs")), "needs").select("path", "needs")
 
 
 def path_union_eq(spark, sf_dir):
@@ -342,18 +387,15 @@ def path_union_eq(spark, sf_dir):
 
 
 def individuals(spark, sf_dir):
-    paths = query_paths(spark, sf_dir).withColumn("seq", F.col("query_id") * 1000 + F.col("proj") * 10)
+    _, bound = _bound()
+    # The order of alternatives is that of the query's binding.
+    rows = [(i, str(p)) for i, p in enumerate(p for b in bound for _, u in b.shown for p in u.paths)]
+    paths = spark.createDataFrame(rows, "seq long, path string")
     x = paths.join(analysis.observables(paths.select("path").distinct(), _model(spark)), "path")
-    named = observation.individual_names(x.select(F.regexp_extract("path", r"\.(\w+)$", 1).alias("characteristic"), (F.col("seq") + F.dense_rank().over(_by_path())).cast("long").alias("seq"), "path", "observable"))
+    named = observation.individual_names(x.select(F.regexp_extract("path", r"\.(\w+)$", 1).alias("characteristic"), "seq", "path", "observable"))
     return named.select("name", "path", "observable")
 
 
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id", "proj").orderBy("path")
-
-
 def entity_attributes(spark, sf_dir):
     return analysis.attributes(_model(spark))
 
@@ -379,6 +421,10 @@ def sparql_stats(spark, sf_dir):
     return df.groupBy("query_id").agg(F.count_distinct("proj").alias("vars"), F.count("*").alias("triples"))
 
 
+def sparql_summary(spark, sf_dir):
+    return sparql_stats(spark, sf_dir).agg(F.count("*").alias("queries"), *(f(c).alias(f"{n}_{c}") for c in ("vars", "triples") for n, f in (("sum", F.sum), ("avg", F.avg), ("max", F.max))))
+
+
 def composition_detail(spark, sf_dir):
     return analysis.composition_detail(_model(spark))
 
@@ -397,11 +443,11 @@ def local_names(spark, sf_dir):
 
 
 def latex(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", latex_escape(F.concat_ws("_", "p_brand", "p_type")).alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", latex_escape(F.concat(F.lit("{\\^~%$&_}"), "p_brand", F.lit("_"), "p_type")).alias("text"))
 
 
 def owl_triples(spark, sf_dir):
-    return analysis.ontology(_model(spark))
+    return ontology.triples(_whole(spark))
 
 
 def owl_restrictions(spark, sf_dir):
@@ -411,12 +457,39 @@ def owl_restrictions(spark, sf_dir):
 
 
 def ontology_stats(spark, sf_dir):
-    t = analysis.ontology(_model(spark))
-    return t.agg(F.count_if((F.col("p") == "a") & (F.col("o") == "Class")).alias("classes"), F.count_if(F.col("p") == "subClassOf").alias("subclasses"), F.count_distinct(F.when(F.col("p") == "subPropertyOf", F.col("s"))).alias("properties"))
+    return ontology.stats(ontology.triples(_whole(spark)))
 
 
 def hop_properties(spark, sf_dir):
-    return analysis.hop_rows(_paths(spark).where("path not in ('Motor', 'Vehicle.wheel.size')"), _model(spark))
+    return analysis.hop_rows(_paths(spark).where("path <> 'Motor'"), _model(spark))
+
+
+def associations_of(spark, sf_dir):
+    return analysis.associations_of(_model(spark))
+
+
+def top_central(spark, sf_dir):
+    """The customer or nation of the highest degree; of several the one that comes first by name."""
+    ranked = centrality(spark, sf_dir).withColumn("place", F.regexp_extract("entity", r"(\d+)$", 1).cast("long") * 4 + F.expr("locate(substr(entity, 1, 1), 'CNS')"))
+    return analysis.top_first(ranked, "entity", "degree", "place")
+
+
+def disjoint_links(spark, sf_dir):
+    """Disjoint pairs from either side, and back to one row a pair."""
+    pairs = disjoint_pairs(spark, sf_dir)
+    ways = analysis.both_ways(pairs)
+    back = analysis.one_way(ways).select(F.col("a").alias("name"), F.col("b").alias("other"), F.lit("once").alias("kind"))
+    return ways.withColumn("kind", F.lit("each")).unionByName(back)
+
+
+def latex_queries(spark, sf_dir):
+    """Page addresses of many lines as LaTeX, cut to eight lines."""
+    return table(spark, sf_dir, "pages").select("page_id", latex_query(F.replace(F.col("url"), F.lit("/"), F.lit("\n"))).alias("text"))
+
+
+def progressive_queries(spark, sf_dir):
+    rows = [(i, text, shows) for i, (text, shows) in enumerate(progressive(parse_model(MODEL), "Vehicle"))]
+    return spark.createDataFrame(rows, "ord int, text string, shows string")
 
 
 def model_mermaid(spark, sf_dir):
@@ -426,6 +499,7 @@ def model_mermaid(spark, sf_dir):
 _V = [
     model_scan, multiplicity_parse, rolename_default, path_parse, path_render, tuple_render, classify, type_resolve, observable_of, query_paths, prefix_closure, path_deps, path_union_eq, individuals, entity_attributes, entity_compositions,
     model_stats, query_stats, sparql_stats, composition_detail, pattern_assoc, model_centrality, owl_triples, owl_restrictions, ontology_stats, hop_properties, model_mermaid,
+    sparql_summary, associations_of, top_central, disjoint_links, latex_queries, progressive_queries,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -434,6 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "centrality": centrality, "co_participants": co_participants, "partof_pairs": partof_pairs, "individual_names": individual_names,
     "specializes_closure": specializes_closure, "property_usage": property_usage, "disjoint_pairs": disjoint_pairs, "local_name": local_names, "latex_escape": latex,
     **{f.__name__: f for f in _V},
+    **document_queries.QUERIES,
 }
 
 _P = "paths(path) AS (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ")"
@@ -463,7 +538,7 @@ ORACLES: dict[str, str] = {
     "property_usage": "SELECT *, ((domain IS NOT NULL)::INT + (range IS NOT NULL)::INT + (inverse IS NOT NULL)::INT)::INT AS score FROM (SELECT 'p' || o_orderkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS domain, CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus END AS range, CASE WHEN o_totalprice > 100000 THEN 'inv' END AS inverse FROM orders)",
     "disjoint_pairs": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name",
     "local_name": "SELECT page_id, CASE WHEN contains(url, '#') THEN string_split(url, '#')[-1] ELSE string_split(url, '/')[-1] END AS name FROM pages",
-    "latex_escape": r"SELECT p_partkey, replace(replace(p_brand || '_' || p_type, '#', '\#'), '_', '\_') AS text FROM part",
+    "latex_escape": r"SELECT p_partkey, '\{\textbackslash\{\}\textasciicircum{}\textasciitilde{}\%\$\&\_\}' || replace(replace(p_brand || '_' || p_type, '#', '\#'), '_', '\_') AS text FROM part",
     "model_scan": _W + "SELECT seq, subject, predicate, object_raw, rolename, array_to_string(mult, ' ') AS mult FROM model",
     "multiplicity_parse": _W + "SELECT seq, (unnest(range(len(mult))))::INT AS i, unnest(mult) AS token FROM model WHERE mult IS NOT NULL",
     "rolename_default": _W + "SELECT subject, object_raw, rolename FROM model",
@@ -471,8 +546,8 @@ ORACLES: dict[str, str] = {
     "path_render": f"WITH {_P} SELECT '{{' || string_agg(path, ' | ' ORDER BY path) || '}}' AS text FROM paths",
     "tuple_render": _W + "SELECT seq, '(' || subject || ', ' || predicate || CASE WHEN len(mult) >= 4 THEN '[' || mult[1] || ', ' || mult[2] || '][' || mult[3] || ', ' || mult[4] || ']' WHEN len(mult) >= 2 THEN '[' || mult[1] || ', ' || mult[2] || ']' ELSE '' END || ', ' || object_raw || ', ' || rolename || ')' AS line FROM model",
     "classify": _W + "SELECT name, kind FROM kinds",
-    "type_resolve": "SELECT * FROM (VALUES ('Vehicle.hull.place', 'Place'), ('Vehicle->assembly[Vehicle_PartOf_Motor].part.heat', 'Heat'), ('Vehicle.motor->observed[Probe_Observe_Motor].observer.mode', 'Mode'), ('Vehicle.wheel.size', NULL), ('Motor', 'Motor'), ('Probe->observer[Probe_Observe_Motor].validity', 'Validity')) t(path, type)",
-    "observable_of": "SELECT * FROM (VALUES ('Vehicle.hull.place', 'Place'), ('Vehicle->assembly[Vehicle_PartOf_Motor].part.heat', 'Heat'), ('Vehicle.motor->observed[Probe_Observe_Motor].observer.mode', 'Mode'), ('Vehicle.wheel.size', 'size'), ('Probe->observer[Probe_Observe_Motor].validity', 'Validity')) t(path, observable)",
+    "type_resolve": f"WITH RECURSIVE {TUPLES_SQL}, {_roles_sql(_P)} SELECT path, here AS type FROM walk WHERE n = len(steps)",
+    "observable_of": f"WITH RECURSIVE {TUPLES_SQL}, {_roles_sql(_P)} SELECT w.path, coalesce((SELECT arg_min(object_raw, seq) FROM facts m WHERE m.predicate = 'composes' AND m.subject = w.here AND '.' || m.rolename = w.steps[len(w.steps)]), regexp_extract(w.path, '([A-Za-z_0-9]+)$', 1)) AS observable FROM walk w WHERE len(w.steps) > 0 AND n = len(steps) - 1",
     "query_paths": "SELECT * FROM (VALUES " + ", ".join(map(repr, _BOUND)) + ") t(query_id, proj, name, path)",
     "prefix_closure": f"WITH {_P}, s AS (SELECT regexp_extract(path, '^[A-Za-z_0-9]+') AS start, {_STEP} AS steps FROM paths), x AS (SELECT start, steps, unnest(range(len(steps) + 1)) AS n FROM s) SELECT DISTINCT start || array_to_string(steps[1:n], '') AS prefix, n::INT AS depth FROM x",
     "path_deps": f"WITH {_P}, s AS (SELECT regexp_extract(path, '^[A-Za-z_0-9]+') AS start, {_STEP} AS steps FROM paths), x AS (SELECT start, steps, unnest(range(len(steps) + 1)) AS n FROM s), y AS (SELECT start, steps, n, unnest(range(n)) AS m FROM x) SELECT DISTINCT start || array_to_string(steps[1:n], '') AS path, start || array_to_string(steps[1:m], '') AS needs FROM y",
@@ -492,3 +567,40 @@ ORACLES: dict[str, str] = {
     "SELECT DISTINCT subject AS class, predicate AS property, object AS on_class, kind, n FROM (SELECT *, 'exact' AS kind, lo AS n FROM b WHERE lo = hi UNION ALL SELECT *, 'min', lo FROM b WHERE lo IS DISTINCT FROM hi AND lo IS NOT NULL UNION ALL SELECT *, 'max', hi FROM b WHERE lo IS DISTINCT FROM hi AND hi IS NOT NULL)",
     "model_mermaid": _W + "SELECT -1 AS ord, 'classDiagram' AS line UNION ALL SELECT seq, CASE predicate WHEN 'specializes' THEN '  ' || object || ' <|-- ' || subject WHEN 'composes' THEN '  ' || subject || ' *-- ' || object || ' : ' || rolename ELSE '  ' || subject || ' --> ' || object || ' : ' || rolename END FROM model",
 }
+_SEEN_SQL = "coalesce((SELECT arg_min(object_raw, seq) FROM facts m WHERE m.predicate = 'composes' AND m.subject = w.here AND '.' || m.rolename = w.steps[len(w.steps)]), regexp_extract(w.path, '([A-Za-z_0-9]+)$', 1))"
+_INST = "inst AS (SELECT subject AS class, rolename AS name, object_raw AS path FROM model WHERE predicate = 'instance'), paths AS (SELECT DISTINCT path FROM inst)"
+_OWL_SQL = f"""WITH RECURSIVE {_ALL_SQL}, {_roles_sql(_INST)}, {_HOPS_SQL},
+  up(child, ancestor) AS (SELECT subject, object_raw FROM facts WHERE predicate = 'specializes' UNION SELECT up.child, m.object_raw FROM up JOIN facts m ON m.subject = up.ancestor AND m.predicate = 'specializes'),
+  t AS (
+    SELECT * FROM (VALUES ('composes', 'a', 'ObjectProperty'), ('composes', 'domain', 'Entity'), ('composes', 'rangeUnion', 'Entity'), ('composes', 'rangeUnion', 'Observable'), ('isComposedBy', 'a', 'ObjectProperty'), ('isComposedBy', 'inverseOf', 'composes'),
+      ('associates', 'a', 'ObjectProperty'), ('associates', 'domain', 'Association'), ('associates', 'rangeUnion', 'Entity'), ('associates', 'rangeUnion', 'Observable'), ('isParticipantIn', 'a', 'ObjectProperty'), ('isParticipantIn', 'inverseOf', 'associates'),
+      ('hasContextRoot', 'a', 'ObjectProperty'), ('hasContext', 'a', 'ObjectProperty'), ('hasObservable', 'a', 'ObjectProperty'), ('hasObservable', 'domain', 'Observation'), ('hasObservable', 'range', 'Observable'),
+      ('Entity', 'a', 'Class'), ('Association', 'a', 'Class'), ('Association', 'subClassOf', 'Entity'), ('Observable', 'a', 'Class'), ('Observation', 'a', 'Class')) x(s, p, o)
+    UNION SELECT name, 'a', 'Class' FROM kinds
+    UNION SELECT name, 'subClassOf', upper(kind[1]) || kind[2:] FROM kinds WHERE kind = 'observable' OR name NOT IN (SELECT child FROM up WHERE ancestor IN ('Entity', 'Association') OR ancestor IN (SELECT subject FROM facts))
+    UNION SELECT subject, 'subClassOf', object_raw FROM facts WHERE predicate = 'specializes'
+    UNION SELECT name, 'memberOf', 'AllDisjointClasses' FROM kinds WHERE kind = 'observable'
+    UNION SELECT rolename, 'a', 'ObjectProperty' FROM facts WHERE predicate = 'associates'
+    UNION SELECT regexp_extract(x, '^(?:\\.|->)([A-Za-z_0-9]+)', 1), 'a', 'ObjectProperty' FROM (SELECT unnest({_STEPS.format(x='object_raw')}) AS x FROM facts WHERE predicate = 'associates')
+    UNION SELECT name, 'a', 'NamedIndividual' FROM inst UNION SELECT name, 'type', 'Observation' FROM inst UNION SELECT name, 'hasObservable', class FROM inst
+    UNION SELECT name, property, target FROM inst JOIN hops USING (path) WHERE target IS NOT NULL
+    UNION SELECT property, 'a', 'ObjectProperty' FROM hops UNION SELECT property, 'subPropertyOf', upper FROM hops
+    UNION SELECT name, 'has' || regexp_extract(path, '^[A-Za-z_0-9]+'), regexp_extract(path, '^[A-Za-z_0-9]+') FROM inst
+    UNION SELECT 'has' || regexp_extract(path, '^[A-Za-z_0-9]+'), 'a', 'ObjectProperty' FROM inst UNION SELECT 'has' || regexp_extract(path, '^[A-Za-z_0-9]+'), 'subPropertyOf', 'hasContextRoot' FROM inst)"""
+_N = lambda c: f"count(*) FILTER ({c})"
+
+ORACLES |= {
+    "owl_triples": _OWL_SQL + " SELECT s, p, o FROM t",
+    "ontology_stats": _OWL_SQL + f""" SELECT {_N("o = 'Class' OR p IN ('memberOf', 'rangeUnion')")} AS classes, {_N("o = 'Class'")} AS declared_classes, {_N("o = 'ObjectProperty'")} AS object_properties, 0::BIGINT AS datatype_properties, {_N("o = 'NamedIndividual'")} AS individuals,
+      {_N("p = 'subClassOf'")} AS subclass_relations, {_N("p = 'domain'")} AS property_domains, {_N("p = 'range'")} AS property_ranges, {_N("p = 'inverseOf'")} AS inverse_properties, (SELECT count(*) FROM kinds a, kinds b WHERE a.kind = 'observable' AND b.kind = 'observable' AND a.name < b.name) AS disjoint_classes FROM t""",
+    "hop_properties": f"WITH RECURSIVE {TUPLES_SQL}, {_roles_sql(_P)}, {_HOPS_SQL} SELECT path, ord, property, target, upper FROM hops WHERE ord < steps - 1",
+    "individuals": f"WITH RECURSIVE {TUPLES_SQL}, {_roles_sql('shown(seq, path) AS (VALUES ' + ', '.join(f'({i}, {p!r})' for i, (_, _, _, p) in enumerate(_BOUND)) + '), paths AS (SELECT DISTINCT path FROM shown)')} "
+    f"SELECT regexp_extract(path, '([A-Za-z_0-9]+)$', 1) || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS name, path, observable FROM (SELECT shown.*, (SELECT {_SEEN_SQL} FROM walk w WHERE w.path = shown.path AND w.n = len(w.steps) - 1) AS observable, row_number() OVER (PARTITION BY regexp_extract(path, '([A-Za-z_0-9]+)$', 1) ORDER BY seq) - 1 AS n FROM shown)",
+    "sparql_summary": "SELECT count(*) AS queries, " + ", ".join(f"{f}({c})::{'DOUBLE' if f == 'avg' else 'BIGINT'} AS {f}_{c}" for c in ("vars", "triples") for f in ("sum", "avg", "max")) + " FROM (VALUES (2, 7), (3, 33), (2, 6)) t(vars, triples)",
+    "associations_of": f"WITH RECURSIVE {TUPLES_SQL}, {_roles_sql('paths AS (SELECT DISTINCT object_raw AS path FROM facts WHERE predicate = $$associates$$ AND NOT direct)')}, d AS (SELECT * FROM facts WHERE predicate = 'associates') SELECT a.object AS entity, a.subject AS association, a.rolename, b.object AS target FROM d a JOIN d b ON a.subject = b.subject AND a.rolename <> b.rolename WHERE a.direct AND b.direct UNION ALL SELECT d.object, d.subject, d.rolename, w.here FROM d JOIN walk w ON w.path = d.object_raw AND w.n = len(w.steps) WHERE NOT d.direct AND w.here IS NOT NULL",
+    "top_central": f"SELECT entity, degree FROM ({CENTRALITY_SQL}) ORDER BY degree DESC, regexp_extract(entity, '([0-9]+)$', 1)::BIGINT, entity[1] LIMIT 1",
+    "disjoint_links": "SELECT a.n_name AS name, b.n_name AS other, 'each' AS kind FROM nation a JOIN nation b ON a.n_name <> b.n_name UNION ALL SELECT a.n_name, b.n_name, 'once' FROM nation a JOIN nation b ON a.n_name < b.n_name",
+    "latex_queries": r"""WITH x AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(regexp_replace(replace(url, '/', chr(10)), '([{}_&%$#])', '\\\1', 'g'), '^', '\textasciicircum{}'), '~', '\textasciitilde{}'), chr(10)), lambda l: trim(l)), lambda l: l <> '') AS lines FROM pages)
+      SELECT page_id, '\begin{minipage}{\linewidth}\raggedright\scriptsize ' || list_aggregate(list_transform(CASE WHEN len(lines) > 8 THEN lines[1:7] || ['...'] ELSE lines END, lambda l: '\texttt{' || l || '}'), 'string_agg', ' \\ ') || ' \end{minipage}' AS text FROM x""",
+}
+ORACLES |= document_queries.ORACLES

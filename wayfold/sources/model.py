@@ -11,11 +11,12 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.names import default_role, multiplicities
 from wayfold.plans.grammar import PathExpr, Query, QuerySyntaxError, parse_path, parse_query
+from wayfold.sources import xmi, xml
 
 #: Splits at commas outside brackets.
 COMMA = r",(?![^\[]*\])"
@@ -154,8 +155,8 @@ def scan(lines: DataFrame) -> DataFrame:
     x = x.where(~F.col("in_query") & F.startswith("line", F.lit("(")) & F.endswith("line", F.lit(")")))
     inner = F.regexp_replace(F.expr("substr(line, 2, length(line) - 2)"), r"(\s*,\s*)+$", "")
     x = x.withColumn("parts", F.transform(F.split(inner, COMMA), lambda x: F.trim(x))).where(F.size("parts") >= 3)
-    word = F.trim(F.split(F.col("parts")[1], r"\[")[0])
-    x = x.select("model_id", "seq", F.col("parts")[0].alias("subject"), word.alias("predicate"), F.col("parts")[2].alias("object_raw"), F.get("parts", F.lit(3)).alias("given"), F.col("parts")[1].alias("spec"))
+    word = F.trim(F.split(F.get("parts", F.lit(1)), r"\[")[0])
+    x = x.select("model_id", "seq", F.get("parts", F.lit(0)).alias("subject"), word.alias("predicate"), F.get("parts", F.lit(2)).alias("object_raw"), F.get("parts", F.lit(3)).alias("given"), F.get("parts", F.lit(1)).alias("spec"))
     role = F.coalesce("given", F.when(F.col("predicate") != "instance", default_role(F.col("object_raw"))))
     return x.select("model_id", "seq", "subject", "predicate", "object_raw", role.alias("rolename"), multiplicities(F.col("predicate"), F.col("spec")).alias("mult"))
 
@@ -172,6 +173,26 @@ def frame(spark: SparkSession, text: str, model_id: str = "model") -> DataFrame:
     return scan(df.select("model_id", F.posexplode(F.split("value", "\n")).alias("seq", "line")))
 
 
-def first_match(model: DataFrame, keys: Iterable[str], value: Column) -> DataFrame:
-    """For each key the value of the first tuple in file order."""
-    return model.groupBy(*keys).agg(F.min_by(value, "seq").alias("value"))
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Tuples of the models in a file or folder, by the name's ending: .face and .xml are XMI, others tuple files."""
+    if path.lower().endswith((".face", ".xml")):
+        return xmi.tuples(xml.elements(xml.documents(spark, path)))
+    return scan(lines_of(spark, path))
+
+
+def sniff(spark: SparkSession, path: str) -> DataFrame:
+    """Tuples of a file by its content: XMI if it is well-formed XML, else a tuple file."""
+    found = xml.elements(xml.documents(spark, path))
+    try:
+        found.agg(F.count("*")).first()
+    except Exception as e:
+        if "XmlError" not in str(e):
+            raise
+        return scan(lines_of(spark, path))
+    return xmi.tuples(found)
+
+
+def driver_model(tuples: DataFrame) -> Model:
+    """A model's driver-side form from its tuples; a model is metadata."""
+    rows = tuples.orderBy("seq").collect()
+    return Model(Tuple_(r.seq, r.subject, r.predicate, r.object_raw, r.rolename or None, tuple(r.mult) if r.mult else None) for r in rows)
