@@ -3,13 +3,15 @@
 All of it is SQL functions on one row at a time: no shuffle, no Python. Places of matches follow from what a
 pattern's ``split`` and ``regexp_extract_all`` give: lengths of gaps and matches, summed up in chunks.
 
-A candidate is a run of 24 or more of a class's characters. Over it slides a window; the counts of the
+A candidate is a maximal run of 24 or more characters that keys are written in: letters and digits (of one case: hex or
+base 36), and beside that letters, digits and the marks of base 64. So a key after ``auth=`` or within a path is a
+candidate of its own. Over it slides a window; the counts of the
 window's characters change by one each step, and with them the sum of c*log2(c) that the entropy needs. A
 candidate with a window above its class's threshold is a span, from the first such window to the end of the
 last, unless an allow-list pattern matches the candidate.
 
 Defined results: a null text is as empty: no spans; repeated documents each get their row; positions are code
-points, the end exclusive.
+points, the end exclusive; an empty table gives no rows; ``spans`` replaces a column of that name, ``redact`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -46,13 +48,14 @@ CLASSES = (
     CharClass("entropy_base36", "^(?=.*[0-9])(?=.*[A-Za-z])(?:[0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _SMALL + _SMALL.upper(), 24, 3.6),
     CharClass("entropy_base64", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/=_-]+$", _DIGITS + _SMALL + _SMALL.upper() + "+/=_-", 24, 3.8),
 )
-CANDIDATE = "[A-Za-z0-9+/=_-]{24,}"
+#: Runs of letters and digits go to the classes of one case, runs with marks to the last one.
+RUN, CANDIDATE = "[A-Za-z0-9]{24,}", "[A-Za-z0-9+/=_-]{24,}"
 #: Candidates that are no secrets: identifiers with their usual dashes, dates, alphabets, placeholders.
 ALLOW = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "(?i)example|placeholder|dummy|changeme|your[-_]?(?:key|token|secret)",
     "(?i)abcdefghijklmnop|0123456789abcdef|1234567890123",
-    "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-][0-9-]*Z?)?$",
 )
 
 _CHUNK = 256
@@ -98,7 +101,7 @@ def spans(documents: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow:
     base = documents.drop("spans")
     row = F.struct(*(F.col(f"`{c}`") for c in base.columns)).alias("_row")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")
-    patterns = {"a": ASSIGN, "k": ACCESS, "h": HEX, "c": CANDIDATE}
+    patterns = {"a": ASSIGN, "k": ACCESS, "h": HEX, "r": RUN, "c": CANDIDATE}
     q = base.select(row, text)
     q = q.select("_row", "_t", *(F.split("_t", p, -1).alias(f"_{n}p") for n, p in patterns.items()))
     q = q.select("_row", *(f"_{n}p" for n in patterns), *(F.when(F.size(f"_{n}p") > 1, F.regexp_extract_all("_t", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"_{n}m") for n, p in patterns.items()))
@@ -107,8 +110,10 @@ def spans(documents: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow:
     keep = {"_a": ("assign", 0, value), "_k": ("access", 1, "true"), "_h": ("hex", 2, "true")}
     found = [f"transform(filter({c}, x -> {ok}), x -> named_struct('s', x.s, 'o', {o}, 'e', x.e, 'kind', '{kind}'))" for c, (kind, o, ok) in keep.items()]
     allowed = " or ".join(f"x.m rlike {_literal(p)}" for p in allow) or "false"
-    which = "case " + " ".join(f"when x.m rlike {_literal(c.whole)} then {i}" for i, c in enumerate(classes)) + " else -1 end"
-    q = q.select("_row", *(F.expr(x).alias(f"_f{i}") for i, x in enumerate(found)), F.expr(f"filter(transform(filter(_c, x -> not ({allowed})), x -> named_struct('s', x.s, 'm', x.m, 'w', {which})), x -> x.w >= 0)").alias("_c"))
+    # A run is of one case's classes or of none; with marks around it or in it, it may be a candidate of the last one.
+    which = {"_r": [*enumerate(classes)][:-1], "_c": [*enumerate(classes)][-1:]}
+    runs = "concat(" + ", ".join(f"transform({c}, x -> named_struct('s', x.s, 'm', x.m, 'w', case " + " ".join(f"when x.m rlike {_literal(k.whole)} then {i}" for i, k in some) + " else -1 end))" for c, some in which.items()) + ")"
+    q = q.select("_row", *(F.expr(x).alias(f"_f{i}") for i, x in enumerate(found)), F.expr(f"filter({runs}, x -> x.w >= 0 and not ({allowed}))").alias("_c"))
     numbers = "case " + " ".join(f"when x.w = {i} then transform(filter(split(x.m, ''), y -> y <> ''), y -> locate(y, '{c.alphabet}') - 1)" for i, c in enumerate(classes)) + " end"
     q = q.select("_row", "_f0", "_f1", "_f2", F.expr(f"transform(_c, x -> named_struct('s', x.s, 'w', x.w, 'k', {numbers}))").alias("_c"))
     hot = "case " + " ".join(f"when x.w = {i} then {_entropy(c)}" for i, c in enumerate(classes)) + " end"
@@ -134,20 +139,16 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every span of the text replaced by mark (one for spans that overlap); n_chars, if there, follows."""
-    found = spans(documents)
+    found = spans(documents.select(F.struct("*").alias("row"), F.col("text").cast("string")))
     step = f"""
       aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (acc, x) -> case when x.e <= acc.at then acc
                          when x.s < acc.at then named_struct('at', x.e, 'out', acc.out)
                          else named_struct('at', x.e, 'out', concat(acc.out, array(substring(text, acc.at + 1, x.s - acc.at), '{mark}'))) end,
         acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))"""
-    out = found.withColumn("_new", F.when(F.size("spans") > 0, F.expr(step)).otherwise(F.col("text")))
-    columns = []
-    for c in documents.columns:
-        if c == "text":
-            columns.append(F.col("_new").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.size("spans") > 0, F.length("_new").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return out.select(*columns)
+    out = found.select("row", (F.size("spans") > 0).alias("changed"), F.expr(step).alias("new"))
+    columns = {c: F.col(f"row.`{c}`") for c in documents.columns}
+    columns["text"] = F.when(F.col("changed"), F.col("new")).otherwise(columns["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("changed"), F.length("new").cast(documents.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*(x.alias(c) for c, x in columns.items()))
