@@ -3,7 +3,7 @@
 An archive is a ZIP file of stored members: ``archive/data.warc.gz`` (a gzip member for each WARC record) and
 ``indexes/index.cdx`` (a line a record: id, offset, length, and the member if it is another). The reader takes the end of the file, the ZIP64
 records where sizes or offsets need them, and the central directory; from it the places of the members; from the
-index the places of the records; and then reads ranges of the file, neighbouring records together.
+index the places of the records (a member without one is read through); and then reads ranges of the file, neighbouring records together.
 
 Writing: a task rolls to a new archive at ``roll_bytes``. It writes under a name of its own and renames at the
 end, so an attempt that is lost leaves no half archive under a final name. Files are opened by their URI with
@@ -20,7 +20,9 @@ payload are all responses; further columns stay out; an empty table gives no arc
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zipfile
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, scratch
+from wayfold.llm.common import cut, scratch, small
 
 ROLL_BYTES = 64 << 20
 LEAST = 0
@@ -103,9 +105,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, roll_bytes
     """Writes pages (page_id, url, html) as archives into a shared folder; returns path, records and bytes of each."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    firsts = rows.where(F.octet_length("html") >= least).groupBy("key").agg(F.min("page_id").alias("first"))
+    # Only ids and digests are shuffled; what comes back are digests that occur more than once.
+    firsts = rows.where(F.octet_length("html") >= least).select("key", "page_id").groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    firsts = cut(firsts)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least), F.col("first"))
-    rows = rows.join(firsts, "key", "left").select("page_id", "url", "html", refers.alias("refers"))
+    rows = rows.join(F.broadcast(firsts) if small(firsts) else firsts, "key", "left").select("page_id", "url", "html", refers.alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, writer, out = TaskContext.get().partitionId(), 0, None, []
@@ -191,25 +195,66 @@ def _data_at(f: Ranges, member: tuple[int, int, int, int]) -> int:
     return member[3] + 30 + name_n + extra_n
 
 
+def _records(f: Ranges, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each record of a stored member, read from its start: gzip members, or records as they are."""
+    at, upto = start, start + size
+    while at < upto:
+        if f.read(at, 2) == b"\x1f\x8b":
+            unpack, n = zlib.decompressobj(31), 0
+            while not unpack.eof:
+                part = f.read(at + n, min(1 << 20, upto - at - n))
+                if not part:
+                    raise ValueError("a record ends before its member's end")
+                unpack.decompress(part)
+                n += len(part)
+            n -= len(unpack.unused_data)
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head:
+                part = f.read(at + len(head), min(1 << 14, upto - at - len(head)))
+                if not part:
+                    raise ValueError("a record without a head")
+                head += part
+            head = head[: head.index(b"\r\n\r\n") + 4]
+            n = len(head) + int(next(x for x in head.lower().split(b"\r\n") if x.startswith(b"content-length:"))[15:]) + 4
+        yield at, n
+        at += n
+
+
+def _entry(line: str) -> tuple[str | None, int, int]:
+    """Member, offset and length that a line of an index tells; lines end in JSON, or are id, offset, length and maybe the member."""
+    if line.endswith("}"):
+        x = json.loads(line[line.index("{") :])
+        return x.get("filename"), int(x["offset"]), int(x["length"])
+    _, offset, length, *of = line.split(" ")
+    return (of[0] if of else None), int(offset), int(length)
+
+
 def places(f: Ranges) -> list[tuple[int, int]]:
-    """Offset in the file and length of each record, by the indexes; records of all stored WARC members."""
+    """Offset in the file and length of each record of all stored WARC members: by the indexes, gzip ones included, and by
+    reading through a member that no index names."""
     found = members(f)
     data = {n: m for n, m in found.items() if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))}
     if any(m[0] != 0 for m in data.values()):
         raise ValueError("an archive member is packed; it can't be read by ranges")
     starts = {n: _data_at(f, m) for n, m in data.items()}
-    out = []
+    out, named = [], set()
     for name, m in found.items():
         if not name.startswith("indexes/"):
             continue
         raw = f.read(_data_at(f, m), m[1])
-        text = (zlib.decompress(raw, -15) if m[0] == 8 else raw).decode()
-        for line in text.splitlines():
-            _, offset, length, *of = line.split(" ")
-            member = of[0] if of else DATA
-            if int(offset) + int(length) > data[member][1]:
+        raw = zlib.decompress(raw, -15) if m[0] == 8 else raw
+        for line in (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode().splitlines():
+            if not line.strip() or line.startswith("!"):
+                continue
+            of, offset, length = _entry(line.strip())
+            member = DATA if of is None else of if of in data else f"archive/{of}"
+            if offset + length > data[member][1]:
                 raise ValueError("the index points beyond its member")
-            out.append((starts[member] + int(offset), int(length)))
+            named.add(member)
+            out.append((starts[member] + offset, length))
+    for name in data.keys() - named:
+        out += _records(f, starts[name], data[name][1])
     return out
 
 
@@ -240,7 +285,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
         raw = f.read(base, some[-1][0] + some[-1][1] - base)
         out = []
         for at, n in some:
-            r = parse(zlib.decompress(raw[at - base : at - base + n], 31))
+            rec = raw[at - base : at - base + n]
+            r = parse(zlib.decompress(rec, 31) if rec[:2] == b"\x1f\x8b" else rec)
             http, _, payload = bytes(r[""]).partition(b"\r\n\r\n")
             digest, kind_ = str(r["warc-payload-digest"]).removeprefix("sha1:"), str(r["warc-type"])
             size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))

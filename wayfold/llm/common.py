@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = base or tempfile.mkdtemp(prefix="wayfold-")
         sc.setCheckpointDir(base)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -37,6 +39,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/wayfold-{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of ours in the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -168,8 +176,3 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(edges, edges[i] + most, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
-
-
-def spread(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """df joined on key with ids (computed, narrow, one row a key): broadcast after a count of its rows, else by a shuffle."""
-    return df.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), key, how)
