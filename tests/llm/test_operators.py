@@ -65,7 +65,7 @@ def test_op1(spark, docs, empty):
     assert token_counts.curve(token_counts.histogram(empty, queries.tokenizer())).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1 << 25, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_op2(spark, docs, empty, limit):
     items = [(1, " ".join(f"W{i}" for i in range(5, 25))), (2, "one"), (3, None), (10, "a b c d a"), (None, "line LINE line"), (2, "one"), (4, "..")]
     bench = spark.createDataFrame([(*x, "q") for x in items], "item_id long, text string, n_hit string")
@@ -75,7 +75,7 @@ def test_op2(spark, docs, empty, limit):
         k = min(10, len(w))
         for j in range(len(w) - k + 1 if k else 0):
             win.setdefault(tuple(w[j : j + k]), set()).update([] if i is None else [i])
-    got = by_id(decontaminate.report(decontaminate.decontaminate(docs, bench, set_bytes=limit)))
+    got = by_id(decontaminate.report(decontaminate.decontaminate(docs, bench, set_words=limit)))
     for i, t in enumerate(TEXTS):
         w, hit, found = WORD.findall(low(t)), set(), set()
         for k in {len(x) for x in win}:
@@ -86,9 +86,18 @@ def test_op2(spark, docs, empty, limit):
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit)), t
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-    assert decontaminate.decontaminate(empty, bench, set_bytes=limit).count() == 0
-    assert decontaminate.clean(docs, bench).count() == docs.count() - sum(bool(r.n_hit) for r in decontaminate.decontaminate(docs, bench).collect())
-    cut = by_id(decontaminate.clean(docs, bench, remove="spans"))
+    assert decontaminate.decontaminate(empty, bench, set_words=limit).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0), set_words=limit).where("n_hit > 0").count() == 0
+    kept = decontaminate.clean(docs, bench, set_words=limit)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - sum(bool(r.n_hit) for r in decontaminate.decontaminate(docs, bench).collect())
+    cut = by_id(decontaminate.clean(docs, bench, remove="spans", set_words=limit))
+    spans = by_id(decontaminate.decontaminate(docs, bench, set_words=limit, with_spans=True))
+    for i, t in enumerate(TEXTS):
+        at, out = 0, ""
+        for a, e in spans[i].hits:
+            out, at = out + t[at:a], e
+        assert cut[i].text == (t if t is None else out + t[at:]) and cut[i].shard == "x" and cut[i].kept == "k"
+        assert sum(len(WORD.findall(low(t[a:e]))) for a, e in spans[i].hits) == spans[i].n_hit
     assert "w10" not in cut[5].text and cut[5].text.startswith("w0 ") and cut[5].n_chars == len(cut[5].text) and cut[0].text is None
 
 
@@ -110,9 +119,19 @@ def test_op3(spark, docs, empty):
     assert "entropy_base64" in got[12].spans and "entropy" not in got[5].spans
     clean = by_id(secrets.redact(docs))
     assert "hunter2" not in clean[12].text and "Zx9Qk2" not in clean[12].text and clean[12].text.startswith("[SECRET] ") and clean[5].text == BASE and clean[0].text is None
+    assert clean[12].spans == "y" and [r.spans for r in secrets.redact(docs).where("doc_id = 5").collect()] == ["y", "y"]
     assert secrets.spans(empty).count() == 0
 
 
+def test_op3_keys_next_to_marks(spark):
+    key = "3ax6xnjp29jd6fds4gc373sgvjxteol0"
+    texts = [f"auth={key}", f"/hook/{key}", f"Auth={key}", f"2024-01-02{key}", "2024-01-02T00-00-00-00-00-00-00Z", "0123456789abcdef" * 2, "averylongwordwithoutanydigits" * 2]
+    got = by_id(secrets.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    more = lambda i: [texts[i][s.s : s.e] for s in got[i].spans if s.kind == "entropy_base36"]
+    assert all(x and x[0] in "02" + key for x in map(more, range(4)))
+    assert not [s for i in (4, 5, 6) for s in got[i].spans if s.kind.startswith("entropy")]
+
+
 def test_op3_entropy_by_brute_force(spark):
     rng = np.random.default_rng(5)
     c = secrets.CLASSES[2]
@@ -135,6 +154,18 @@ def test_op4(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_op4_whole_licenses(spark):
+    words = lambda t: re.sub("<<[^>]*>>", lambda m: "the holders" if m[0][2] == "v" else "", t)
+    texts = [(i, f"Copyright 2020 x. {words(t)} End.") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    cut = [(100 + i, " ".join(t.split()[:-3])) for i, t in texts if len(t.split()) > 60]
+    got = by_id(licenses.scan(spark.createDataFrame(texts + cut, "doc_id long, text string")))
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i].labels.split(","), label
+    assert all(got[i].labels == "" for i, _ in cut)
+    assert [got[i].labels for i, (x, _) in enumerate(licenses.TEMPLATES) if x.startswith("bsd")] == ["bsd-2", "bsd-3"]
+    assert licenses.outermost([(0, 9, "a"), (0, 20, "b"), (3, 20, "a"), (30, 40, "c"), (30, 40, "c")]) == {"b", "c"}
+
+
 def test_op4_automaton():
     a = licenses.Automaton("under the <<beginOptional>>very <<beginOptional>>own<<endOptional>><<endOptional>> license of <<var;1-3>> only")
     words = lambda s: s.split()
@@ -349,6 +380,57 @@ def test_op10_reads_other_zips(tmp_path):
         archives.members(archives.Ranges(str(path)))
 
 
+def test_op10_members_without_an_index_and_other_indexes(spark, tmp_path):
+    plain = [archives.record(i, f"u{i}", b"x" * i, None, "1970-01-01T00:00:00Z") for i in range(5)]
+    packed = [zlib.compress(r, wbits=31) for r in plain]
+    path = tmp_path / "y.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/a.warc", b"".join(plain[:2]))
+        z.writestr("archive/b.warc.gz", b"".join(packed[2:4]))
+        z.writestr("archive/c.warc.gz", packed[4])
+        line = 'u4 19700101000000 {"offset": "0", "length": "%d", "filename": "c.warc.gz"}' % len(packed[4])
+        z.writestr("indexes/index.cdx.gz", zlib.compress(line.encode(), wbits=31))
+    got = archives.read_archives(spark.createDataFrame([(str(path),)], "path string")).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload)) for r in got) == [(i, f"u{i}", b"x" * i) for i in range(5)]
+
+
+def test_pipeline_keeps_columns_of_any_names(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ["n_words", "kept", "rule", "base_failed", "spans", "row", "key", "id", "_id", "_row", "hits", "n_symbols"]
+    odd = docs.select("*", *(F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    more = spark.createDataFrame([(None, "word " * 60), (10**6, None), (10**6 + 1, ""), (None, None)], "doc_id long, text string")
+    rows = odd.unionByName(more, allowMissingColumns=True)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, rows, "/root/testdata/sf0.001")
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in rows.schema], name
+        got = out.collect()
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in got for n in names if r[n] is not None), name
+        assert stage(spark, rows.limit(0), "/root/testdata/sf0.001").count() == 0
+    packed = cp.STAGES[-1][1](spark, rows, "/root/testdata/sf0.001")
+    assert packed.where("doc_id is null").count() >= 1 and cp.STAGES[-1][1](spark, rows.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    df = queries.QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    c = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    r = c.execute(queries.ORACLES[name])
+    names = [d[0] for d in r.description]
+    assert sorted(names) == columns
+    assert sorted(repr(list(x)) for x in df.select(*columns).collect()) == sorted(repr([x[names.index(k)] for k in columns]) for x in r.fetchall())
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

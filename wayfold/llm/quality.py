@@ -8,7 +8,8 @@ the next rule starts. The first rule that holds for a text rejects it; a text wi
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Defined results: a null text is as empty (no words, fails the base rule);
 null labels are none, of several labels of a document the highest holds; repeated documents each get their
-row; without labels of both kinds the list is empty.
+row; without labels of both kinds the list is empty; an empty table gives no rows. Columns that are named like a statistic, ``base_failed``,
+``rule`` or ``kept`` come out with what these functions compute; pack a row in a struct to keep them.
 """
 
 from __future__ import annotations
