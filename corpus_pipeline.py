@@ -1,7 +1,11 @@
 """A corpus from documents: quality rules, near-dedup, benchmark decontamination, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again as the
-next stage's docs. All but the last keep the columns of documents.
+next stage's docs. All but the last keep the columns of documents, under any names, and their order.
+
+Defined results: a null or empty text fails the quality rules, so no later stage of ``run`` meets one; a stage by itself
+takes them (they have no near copies, no hits and no secrets, and pack as the end mark alone). A null doc_id stays, and is
+never taken for a copy of another document. Equal rows of one doc_id all stay or go together. Empty documents give no rows at every stage.
 """
 
 from __future__ import annotations
@@ -9,9 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfold.llm import decontaminate, neardup, packing, quality, secrets
-from wayfold.llm.common import scratch, table
+from wayfold.llm.common import remove, scratch, table
 from wayfold.llm.queries import tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    return quality.judge(docs.select(F.struct("*").alias("row"), "text"), rules).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +61,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents; what each gives is kept in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the table documents. What a stage gives is kept in the shared folder until the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
