@@ -10,7 +10,7 @@ from wayfold.functions.names import latex_escape
 from wayfold.operators import analysis, observation, ontology
 from wayfold.operators.closure import ancestors
 from wayfold.plans.binder import bind
-from wayfold.plans.grammar import parse_query
+from wayfold.plans.grammar import parse_path, parse_query
 from wayfold.plans.progressive import progressive
 from wayfold.sources import owl, xmi, xml
 from wayfold.sources.model import frame, load, parse_model, sniff
@@ -78,7 +78,9 @@ def test_an_empty_model_is_an_empty_ontology(spark):
 def test_roles_whose_objects_are_paths_through_such_roles(spark):
     m = frame(spark, "(A, composes, B, b)\n(B, composes, C, c)\n(P, associates, A.b, near)\n(Q, associates, P.near.c, far)\n(R, associates, R.self, self)")
     paths = spark.createDataFrame([("P.near",), ("Q.far",), ("R.self",)], "path string")
-    assert dict(rows(analysis.resolve(paths, m), "path", "type")) == {"P.near": "B", "Q.far": "C", "R.self": None}
+    assert dict(rows(analysis.resolve(paths, m), "path", "type")) == {"P.near": "B", "Q.far": "C", "R.self": "self"}
+    model = parse_model("(A, composes, B, b)\n(B, composes, C, c)\n(P, associates, A.b, near)\n(Q, associates, P.near.c, far)\n(R, associates, R.self, self)")
+    assert [model.type_of(parse_path(p)) for p in ("P.near", "Q.far", "R.self", "R.none")] == ["B", "C", "self", None]
 
 
 def test_individual_names_of_any_order_and_nulls(spark):

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from wayfold.functions.names import hop_property, path_start, path_steps, upper_bound
 from wayfold.operators.closure import cut
 
+#: Roles of a model are broadcast up to so many.
+BROADCAST_ROLES = 100_000
+
 
 def with_start(model: DataFrame) -> DataFrame:
     """model with object: where a path starts, else the object itself; direct: whether it has no steps."""
@@ -48,7 +51,9 @@ def lookup(model: DataFrame) -> DataFrame:
         left, before = paths.count(), left
         if left == before:
             break
-    return known
+    # A path that leads nowhere counts by its last role.
+    lost = paths.select("subject", "rolename", F.regexp_extract("path", r"(\w+)(?:\[\w+\])?$", 1).alias("to"), "predicate")
+    return cut(known.unionByName(lost))
 
 
 def resolve(paths: DataFrame, model: DataFrame) -> DataFrame:
@@ -56,8 +61,11 @@ def resolve(paths: DataFrame, model: DataFrame) -> DataFrame:
     return _walk(paths, lookup(model))
 
 
-def _walk(paths: DataFrame, roles: DataFrame) -> DataFrame:
+def _walk(paths: DataFrame, roles: DataFrame, stay: bool = False) -> DataFrame:
+    """paths with type, by roles. stay: after an unknown step a path goes on from where it was."""
     roles = roles.select("subject", "rolename", "to")
+    if roles.limit(BROADCAST_ROLES + 1).count() <= BROADCAST_ROLES:
+        roles = F.broadcast(roles)
     x = paths.withColumn("_steps", path_steps(F.col("path"))).withColumn("type", path_start(F.col("path")))
     longest = x.agg(F.max(F.size("_steps"))).first()[0] or 0
     for i in range(longest):
@@ -65,7 +73,7 @@ def _walk(paths: DataFrame, roles: DataFrame) -> DataFrame:
         x = x.withColumn("_step", step).withColumn("_role", F.regexp_extract("_step", r"^\.(\w+)$", 1))
         x = x.join(roles.withColumnsRenamed({"subject": "type", "rolename": "_role"}), ["type", "_role"], "left")
         back = F.regexp_extract("_step", r"\[(\w+)\]", 1)
-        x = x.withColumn("type", F.when(F.col("_step").isNull(), F.col("type")).when(back != "", back).otherwise(F.col("to"))).drop("to", "_role", "_step")
+        x = x.withColumn("type", F.when(F.col("_step").isNull(), F.col("type")).when(back != "", back).otherwise(F.coalesce("to", "type") if stay else F.col("to"))).drop("to", "_role", "_step")
     return x.select(*paths.columns, "type")
 
 
@@ -148,9 +156,12 @@ def restrictions(model: DataFrame, closure: DataFrame) -> DataFrame:
     """class, property, on_class, kind (exact, min or max) and n of each cardinality restriction.
 
     closure: child and ancestor. What an ancestor states of the same type is not stated again; a bound of -1 or * is none.
+    A participant's path counts by the type that it leads to.
     """
     m = with_start(model.where("predicate in ('composes', 'associates')"))
-    m = m.where("direct").select("subject", "predicate", "object", F.get("mult", F.lit(0)).alias("lo"), F.get("mult", F.lit(1)).alias("hi"))
+    far = cut(resolve(m.where("not direct").select(F.col("object_raw").alias("path")).distinct(), model))
+    m = m.join(far.withColumnRenamed("path", "object_raw"), "object_raw", "left").withColumn("object", F.when(F.col("direct"), F.col("object")).otherwise(F.coalesce("type", F.regexp_extract("object_raw", r"(\w+)(?:\[\w+\])?$", 1))))
+    m = m.select("subject", "predicate", "object", F.get("mult", F.lit(0)).alias("lo"), F.get("mult", F.lit(1)).alias("hi"))
     above = closure.join(m, closure.ancestor == m.subject).select(F.col("child").alias("subject"), "predicate", "object").distinct()
     m = m.join(above, ["subject", "predicate", "object"], "left_anti")
     lo, hi = upper_bound(F.col("lo")), upper_bound(F.col("hi"))
@@ -159,22 +170,25 @@ def restrictions(model: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def hop_rows(paths: DataFrame, model: DataFrame, whole: bool = False) -> DataFrame:
-    """path, ord, property, target and upper (the upper property) of each step of characteristics' paths; of the last one only if whole.
+    """path, ord, property, target and upper (the upper property) of each step of characteristics' paths but the last.
 
-    A step that the model does not know has a property and no target, and ends the path.
+    A step that the model does not know has a property and no target, and ends the path. whole: the last step is there
+    too, and a path goes on after such a step from where it was, as individuals' paths do.
     """
     steps = path_steps(F.col("path"))
     taken = steps if whole else F.slice(steps, F.lit(1), F.greatest(F.lit(0), F.size(steps) - 1))
     x = paths.select("path", F.posexplode(taken).alias("ord", "step"), steps.alias("all"))
     head = F.concat(path_start(F.col("path")), F.array_join(F.slice("all", F.lit(1), F.col("ord")), ""))
-    x = x.select("path", "ord", "step", head.alias("head"), F.concat(head, "step").alias("tail"))
+    x = x.select("path", "ord", "step", head.alias("head"))
     roles = lookup(model)
-    types = _walk(x.select(F.col("head").alias("path")).union(x.select("tail")).distinct(), roles)
-    x = x.join(types.withColumnsRenamed({"path": "head", "type": "owner"}), "head").join(types.withColumnsRenamed({"path": "tail", "type": "target"}), "tail")
-    x = x.where("owner is not null").withColumn("role", F.regexp_extract("step", r"^(?:\.|->)(\w+)", 1)).withColumn("back", F.startswith("step", F.lit("->")))
-    x = x.join(roles.select(F.col("subject").alias("owner"), F.col("rolename").alias("role"), "predicate"), ["owner", "role"], "left")
-    upper = F.when(F.col("back"), "isParticipantIn").otherwise(F.coalesce("predicate", F.lit("associates")))
-    return x.select("path", "ord", hop_property(F.col("owner"), F.when(F.col("back"), "P").otherwise("C"), F.col("role")).alias("property"), "target", upper.alias("upper"))
+    owners = cut(_walk(x.select(F.col("head").alias("path")).distinct(), roles, whole))
+    x = x.join(owners.withColumnsRenamed({"path": "head", "type": "owner"}), "head").where("owner is not null")
+    x = x.withColumn("role", F.regexp_extract("step", r"^(?:\.|->)(\w+)", 1)).withColumn("back", F.regexp_extract("step", r"\[(\w+)\]", 1))
+    x = x.join(roles.select(F.col("subject").alias("owner"), F.col("rolename").alias("role"), "to", "predicate"), ["owner", "role"], "left")
+    back = F.col("back") != ""
+    upper = F.when(back, "isParticipantIn").otherwise(F.coalesce("predicate", F.lit("associates")))
+    target = F.when(back, F.col("back")).otherwise(F.col("to"))
+    return x.select("path", "ord", hop_property(F.col("owner"), F.when(back, "P").otherwise("C"), F.col("role")).alias("property"), target.alias("target"), upper.alias("upper"))
 
 
 def top_first(rows: DataFrame, name: str, score: str, order: str) -> DataFrame:

@@ -99,20 +99,21 @@ class Pattern:
 
 
 def path_patterns(path: PathExpr, model: Model) -> list[tuple[str, str]]:
-    """What an observation of a path's characteristic has; steps after one that the model does not know are left out."""
+    """What an observation of a path's characteristic has. Steps lead where the model says, as they do in an ontology's
+    individuals; a step that it does not know, and those after it, are left out. Without a model a query's own types count."""
     *hops, last = path.hops
     out, at = [(f"has{path.start}", path.start)], path.start
-    for i, h in enumerate(hops):
+    for h in hops:
         if h.assoc is not None:
             out.append((f"has{at}Participant_{h.role}", h.assoc))
             at = h.assoc
             continue
-        to = h.target or model.type_of(path.prefix(i + 1))
+        to = model.leads(at, h.role) if model.tuples else h.target or h.role
         if to is None:
             break
         out.append((f"has{at}Composition_{h.role}", to))
         at = to
-    owner = model.type_of(PathExpr(path.start, tuple(hops))) or at
+    owner = (hops[-1].assoc or hops[-1].target if hops else path.start) or model.type_of(PathExpr(path.start, tuple(hops))) or at
     return [("a", "Observation"), ("hasObservable", model.observable(owner, last.role)), *out]
 
 

@@ -284,25 +284,24 @@ _ALL_SQL = _lines(MODEL + INSTANCES) + _TUPLES
 _STEPS = r"regexp_extract_all({x}, '(\.[A-Za-z_0-9]+|->[A-Za-z_0-9]+\[[A-Za-z_0-9]+\])')"
 
 
-def _walk_sql(name: str, source: str, roles: str) -> str:
-    """name(path, steps, n, here): where each path of source stands after n steps; null after an unknown one."""
+def _walk_sql(name: str, source: str, roles: str, stay: bool = False) -> str:
+    """name(path, steps, n, here): where each path of source stands after n steps; null after an unknown one, or (stay) where it was."""
     return f"""{name}(path, steps, n, here) AS (SELECT path, {_STEPS.format(x='path')}, 0, regexp_extract(path, '^[A-Za-z_0-9]+') FROM {source}
-    UNION ALL SELECT w.path, w.steps, w.n + 1, CASE WHEN starts_with(w.steps[w.n + 1], '->') THEN regexp_extract(w.steps[w.n + 1], '\\[(.*)\\]', 1) ELSE r.leads END
+    UNION ALL SELECT w.path, w.steps, w.n + 1, CASE WHEN starts_with(w.steps[w.n + 1], '->') THEN regexp_extract(w.steps[w.n + 1], '\\[(.*)\\]', 1) ELSE {'coalesce(r.leads, w.here)' if stay else 'r.leads'} END
       FROM {name} w LEFT JOIN {roles} r ON r.subject = w.here AND '.' || r.rolename = w.steps[w.n + 1] WHERE w.n < len(w.steps))"""
 
 
-def _roles_sql(paths: str) -> str:
+def _roles_sql(paths: str, stay: bool = False) -> str:
     """CTEs after tuples: roles(subject, rolename, leads, predicate) and walk over paths(path)."""
     return f"""first_role AS (SELECT subject, rolename, arg_min(object, seq) AS leads, arg_min(predicate, seq) AS predicate, arg_min(direct, seq) AS direct, arg_min(object_raw, seq) AS path FROM facts WHERE predicate IN ('composes', 'associates') GROUP BY ALL),
   plain AS (SELECT * FROM first_role WHERE direct), far AS (SELECT DISTINCT path FROM first_role WHERE NOT direct), {_walk_sql('inner_walk', 'far', 'plain')},
-  roles AS (SELECT subject, rolename, leads, predicate FROM plain UNION ALL SELECT f.subject, f.rolename, w.here, f.predicate FROM first_role f JOIN inner_walk w USING (path) WHERE NOT f.direct AND w.n = len(w.steps) AND w.here IS NOT NULL),
-  {paths}, {_walk_sql('walk', 'paths', 'roles')}"""
+  roles AS (SELECT subject, rolename, leads, predicate FROM plain UNION ALL SELECT f.subject, f.rolename, coalesce(w.here, regexp_extract(path, '([A-Za-z_0-9]+)(?:\\[.*)?$', 1)), f.predicate FROM first_role f JOIN inner_walk w USING (path) WHERE NOT f.direct AND w.n = len(w.steps)),
+  {paths}, {_walk_sql('walk', 'paths', 'roles', stay)}"""
 
 
-_HOPS_SQL = """hops AS (SELECT w.path, w.n::INT AS ord, 'has' || w.here || CASE WHEN starts_with(step, '->') THEN 'Participant_' ELSE 'Composition_' END || role AS property, v.here AS target, len(w.steps) AS steps,
-    CASE WHEN starts_with(step, '->') THEN 'isParticipantIn' ELSE coalesce(r.predicate, 'associates') END AS upper
-    FROM (SELECT *, steps[n + 1] AS step, regexp_extract(steps[n + 1], '^(?:\\.|->)([A-Za-z_0-9]+)', 1) AS role FROM walk WHERE n < len(steps) AND here IS NOT NULL) w
-    JOIN walk v ON v.path = w.path AND v.n = w.n + 1 LEFT JOIN roles r ON r.subject = w.here AND r.rolename = w.role)"""
+_HOPS_SQL = """hops AS (SELECT w.path, w.n::INT AS ord, 'has' || w.here || CASE WHEN starts_with(step, '->') THEN 'Participant_' ELSE 'Composition_' END || role AS property, len(w.steps) AS steps,
+    CASE WHEN starts_with(step, '->') THEN regexp_extract(step, '\\[(.*)\\]', 1) ELSE r.leads END AS target, CASE WHEN starts_with(step, '->') THEN 'isParticipantIn' ELSE coalesce(r.predicate, 'associates') END AS upper
+    FROM (SELECT *, steps[n + 1] AS step, regexp_extract(steps[n + 1], '^(?:\\.|->)([A-Za-z_0-9]+)', 1) AS role FROM walk WHERE n < len(steps) AND here IS NOT NULL) w LEFT JOIN roles r ON r.subject = w.here AND r.rolename = w.role)"""
 
 
 def _model(spark: SparkSession) -> DataFrame:
@@ -561,15 +560,17 @@ ORACLES: dict[str, str] = {
     "pattern_assoc": _W + "SELECT name, contains(name, '_Observe_') AS observes, contains(name, '_PartOf_') AS part_of FROM kinds WHERE kind = 'association'",
     "model_centrality": _W + ", e AS (SELECT subject AS a, object AS b FROM model WHERE predicate = 'associates'), near AS (SELECT entity, count(DISTINCT x) AS n FROM (SELECT a AS entity, b AS x FROM e UNION ALL SELECT b, a FROM e) GROUP BY 1), parts AS (SELECT subject AS entity, count(*) AS n FROM model WHERE predicate = 'composes' GROUP BY 1) SELECT coalesce(near.entity, parts.entity) AS entity, coalesce(near.n, 0)::BIGINT AS neighbours, coalesce(parts.n, 0)::BIGINT AS compositions, (coalesce(near.n, 0) + coalesce(parts.n, 0))::BIGINT AS degree FROM near FULL JOIN parts ON near.entity = parts.entity",
     "owl_triples": _W + "SELECT DISTINCT * FROM (SELECT * FROM (VALUES ('Entity', 'a', 'Class'), ('Association', 'a', 'Class'), ('Observable', 'a', 'Class'), ('Observation', 'a', 'Class'), ('Association', 'subClassOf', 'Entity')) t(s, p, o) UNION ALL SELECT name, 'a', 'Class' FROM kinds UNION ALL SELECT name, 'subClassOf', upper(kind[1]) || kind[2:] FROM kinds WHERE name NOT IN (SELECT subject FROM model WHERE predicate = 'specializes') UNION ALL SELECT subject, 'subClassOf', object_raw FROM model WHERE predicate = 'specializes' UNION ALL SELECT rolename, 'subPropertyOf', predicate FROM model WHERE predicate IN ('composes', 'associates'))",
-    "owl_restrictions": f"WITH RECURSIVE {TUPLES_SQL}, up(child, ancestor) AS (SELECT subject, object_raw FROM model WHERE predicate = 'specializes' UNION SELECT up.child, m.object_raw FROM up JOIN model m ON m.subject = up.ancestor AND m.predicate = 'specializes'), "
-    "d AS (SELECT subject, predicate, object, TRY_CAST(mult[1] AS INT) AS lo0, TRY_CAST(mult[2] AS INT) AS hi0 FROM model m WHERE predicate IN ('composes', 'associates') AND direct AND NOT EXISTS (SELECT 1 FROM up JOIN model a ON a.subject = up.ancestor AND a.direct WHERE up.child = m.subject AND a.predicate = m.predicate AND a.object = m.object)), "
+    "owl_restrictions": f"WITH RECURSIVE {TUPLES_SQL}, {_roles_sql('paths AS (SELECT DISTINCT object_raw AS path FROM facts WHERE predicate = $$associates$$ AND NOT direct)')}, "
+    "typed AS (SELECT m.subject, m.predicate, m.mult, CASE WHEN m.direct THEN m.object ELSE coalesce(w.here, regexp_extract(m.object_raw, '([A-Za-z_0-9]+)$', 1)) END AS object FROM facts m LEFT JOIN walk w ON NOT m.direct AND w.path = m.object_raw AND w.n = len(w.steps) WHERE m.predicate IN ('composes', 'associates')), "
+    "up(child, ancestor) AS (SELECT subject, object_raw FROM model WHERE predicate = 'specializes' UNION SELECT up.child, m.object_raw FROM up JOIN model m ON m.subject = up.ancestor AND m.predicate = 'specializes'), "
+    "d AS (SELECT subject, predicate, object, TRY_CAST(mult[1] AS INT) AS lo0, TRY_CAST(mult[2] AS INT) AS hi0 FROM typed m WHERE NOT EXISTS (SELECT 1 FROM up JOIN typed a ON a.subject = up.ancestor WHERE up.child = m.subject AND a.predicate = m.predicate AND a.object = m.object)), "
     "b AS (SELECT subject, predicate, object, CASE WHEN lo0 >= 0 THEN lo0 END AS lo, CASE WHEN hi0 >= 0 THEN hi0 END AS hi FROM d) "
     "SELECT DISTINCT subject AS class, predicate AS property, object AS on_class, kind, n FROM (SELECT *, 'exact' AS kind, lo AS n FROM b WHERE lo = hi UNION ALL SELECT *, 'min', lo FROM b WHERE lo IS DISTINCT FROM hi AND lo IS NOT NULL UNION ALL SELECT *, 'max', hi FROM b WHERE lo IS DISTINCT FROM hi AND hi IS NOT NULL)",
     "model_mermaid": _W + "SELECT -1 AS ord, 'classDiagram' AS line UNION ALL SELECT seq, CASE predicate WHEN 'specializes' THEN '  ' || object || ' <|-- ' || subject WHEN 'composes' THEN '  ' || subject || ' *-- ' || object || ' : ' || rolename ELSE '  ' || subject || ' --> ' || object || ' : ' || rolename END FROM model",
 }
 _SEEN_SQL = "coalesce((SELECT arg_min(object_raw, seq) FROM facts m WHERE m.predicate = 'composes' AND m.subject = w.here AND '.' || m.rolename = w.steps[len(w.steps)]), regexp_extract(w.path, '([A-Za-z_0-9]+)$', 1))"
 _INST = "inst AS (SELECT subject AS class, rolename AS name, object_raw AS path FROM model WHERE predicate = 'instance'), paths AS (SELECT DISTINCT path FROM inst)"
-_OWL_SQL = f"""WITH RECURSIVE {_ALL_SQL}, {_roles_sql(_INST)}, {_HOPS_SQL},
+_OWL_SQL = f"""WITH RECURSIVE {_ALL_SQL}, {_roles_sql(_INST, True)}, {_HOPS_SQL},
   up(child, ancestor) AS (SELECT subject, object_raw FROM facts WHERE predicate = 'specializes' UNION SELECT up.child, m.object_raw FROM up JOIN facts m ON m.subject = up.ancestor AND m.predicate = 'specializes'),
   t AS (
     SELECT * FROM (VALUES ('composes', 'a', 'ObjectProperty'), ('composes', 'domain', 'Entity'), ('composes', 'rangeUnion', 'Entity'), ('composes', 'rangeUnion', 'Observable'), ('isComposedBy', 'a', 'ObjectProperty'), ('isComposedBy', 'inverseOf', 'composes'),

@@ -65,23 +65,31 @@ class Model:
         it leads (final), where it starts (start), or its last name (leaf)."""
         at: str | None = path.start
         for hop in path.hops:
-            if hop.assoc is not None:
-                at = hop.assoc
-                continue
-            t = self.find(at, hop.role) if at else None
-            if t is None:
+            at = hop.assoc if hop.assoc is not None else self.leads(at, hop.role, mode)
+            if at is None:
                 return None
-            p = t.path
-            if p is None or not p.hops:
-                at = t.start
-            elif mode == "start":
-                at = p.start
-            elif mode == "leaf":
-                at = p.hops[-1].role
-            else:
-                at = self.type_of(p)
         return at
 
+    def leads(self, owner: str, role: str, mode: str = "final", within: tuple[str, ...] = ()) -> str | None:
+        """The type that an owner's role leads to; a path object that leads nowhere counts by its last role."""
+        t = self.find(owner, role)
+        if t is None:
+            return None
+        p = t.path
+        if p is None or not p.hops:
+            return t.start
+        if mode == "start":
+            return p.start
+        at: str | None = p.start
+        for hop in p.hops if mode == "final" and str(p) not in within else ():
+            at = hop.assoc if hop.assoc is not None else self.leads(at, hop.role, mode, (*within, str(p)))
+            if at is None:
+                break
+        else:
+            if mode == "final" and str(p) not in within:
+                return at
+        return p.hops[-1].role
+
     def own_roles(self, entity: str) -> list[str]:
         """Sorted distinct rolenames that an entity composes itself."""
         return sorted({t.role for t in self.tuples if t.subject == entity and t.predicate == "composes" and t.role})
