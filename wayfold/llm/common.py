@@ -176,3 +176,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(edges, edges[i] + most, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers live on, and so would what Arrow keeps
