@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.llm import archives, decontaminate, licenses, neardup, packing, quality, queries, secrets, sharding, token_counts, toxicity
-from wayfold.llm.encode import encoder
+from wayfold.llm.encode import Encoder, encoder
 
 WORD, SOLID = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), re.compile("[^\x20\x09-\x0d]+")
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -49,6 +49,16 @@ def test_encoder_is_the_tokenizer():
     assert e.ids(odd) == e.encode(odd)
 
 
+def test_encoder_forgets_words_and_gives_the_same(monkeypatch):
+    monkeypatch.setattr("wayfold.llm.encode.WORDS", 40)
+    some = Encoder(queries.tokenizer())
+    texts = [" ".join(f"word{i % 97} Other{i % 13}-x" for i in range(k, k + 60)) for k in range(0, 400, 20)]
+    for _ in range(3):
+        for t in texts:
+            assert some.ids([t]) == some.encode([t])
+    assert some.old and len(some.young) + len(some.old) < 400
+
+
 def test_op1(spark, docs, empty):
     e = encoder(queries.tokenizer())
     n = [len(x) // 4 for x in e.ids([r.text or "" for r in docs.collect()])]

@@ -15,8 +15,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Words that a worker remembers; beyond, it forgets them all and starts again.
-WORDS = 1_000_000
+#: Words that a worker remembers, in two generations: when the younger half is full, it becomes the older one, which goes.
+WORDS = 250_000
+#: A word is remembered from its second time on; marks of first times, by a hash, so that some words come earlier.
+SEEN = 1 << 22
 #: Longer words are not remembered.
 LONG = 64
 
@@ -45,7 +47,9 @@ class Encoder:
         self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
         added = [x["content"] for x in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
-        self.words: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
         self.ends, suffix = None, spec["model"].get("end_of_word_suffix")
         if suffix:
             vocabulary = self.tokenizer.get_vocab()
@@ -92,10 +96,17 @@ class Encoder:
         """Ids of distinct chunks."""
         if not self.by_word:
             return self._apart(list(chunks))
-        words, out, later, other, lack = self.words, {}, [], [], set()
-        if len(words) > WORDS:
-            words.clear()
-        match, has, special = _PARTS.fullmatch, words.get, self.special.search
+        if len(self.young) > WORDS // 2:
+            self.young, self.old, self.seen = {}, self.young, bytearray(SEEN)
+        young, old, seen, out, later, other, lack = self.young, self.old, self.seen, {}, [], [], set()
+        match, special = _PARTS.fullmatch, self.special.search
+
+        def has(w: str) -> bytes | None:
+            x = young.get(w)
+            if x is None and (x := old.get(w)) is not None:
+                young[w] = x
+            return x
+
         for c in chunks:
             if (x := has(c)) is not None:
                 out[c] = x
@@ -110,11 +121,16 @@ class Encoder:
             if x is not None and y is not None and z is not None:
                 out[c] = x + y + z
             else:
-                later.append((c, a, w, b))
-                lack.update((a, w, b))
-        words.update(self._plain([x for x in lack if x not in words]))
-        for c, a, w, b in later:
-            out[c] = words[a] + words[w] + words[b]
+                later.append((c, a, x, w, y, b, z))
+                lack.update(p for p, q in ((a, x), (w, y), (b, z)) if q is None)
+        new = self._plain(list(lack))
+        for c, a, x, w, y, b, z in later:
+            out[c] = (new[a] if x is None else x) + (new[w] if y is None else y) + (new[b] if z is None else z)
+        for w, x in new.items():
+            at = hash(w) % SEEN
+            if seen[at]:
+                young[w] = x
+            seen[at] = 1
         out.update(self._apart(other))
         return out
 
