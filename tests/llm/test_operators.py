@@ -52,7 +52,8 @@ def test_encoder_is_the_tokenizer():
 def test_encoder_forgets_words_and_gives_the_same(monkeypatch):
     monkeypatch.setattr("wayfold.llm.encode.WORDS", 40)
     some = Encoder(queries.tokenizer())
-    texts = [" ".join(f"word{i % 97} Other{i % 13}-x" for i in range(k, k + 60)) for k in range(0, 400, 20)]
+    words = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11)) + "aeiou"[i % 5] for i in range(97)]
+    texts = [" ".join(f"{words[i % 97]} {words[i % 13].title()}, n{i}" for i in range(k, k + 60)) for k in range(0, 400, 20)]
     for _ in range(3):
         for t in texts:
             assert some.ids([t]) == some.encode([t])
