@@ -136,6 +136,24 @@ def test_superset_individuals_match(spark):
     assert {tuple(r) for r in verify(t, ps).collect()} == {(0, True), (1, False)}
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_bindings_are_the_whole_product(spark, monkeypatch, broadcast):
+    from wayfold.operators import observation
+
+    monkeypatch.setattr(observation, "BROADCAST_ROWS", broadcast)
+    ps = [Pattern(0, 0, 0, 0, "a", "x"), Pattern(0, 1, 0, 0, "a", "y"), Pattern(0, 2, 0, 0, "a", "z"), Pattern(0, 3, 0, 0, "a", "none")]
+    t = spark.createDataFrame([(f"{o}{i}", "a", o) for o, n in (("x", 3400), ("y", 3300), ("z", 1)) for i in range(n)], "s string, p string, o string")
+    got = observation.rows(t, ps[:3], 0)  # more than 10,000,000 rows
+    assert got.columns == ["obs_0", "obs_1", "obs_2"]
+    n = got.selectExpr("count(*)", "count_if(obs_0 not like 'x%' or obs_1 not like 'y%' or obs_2 <> 'z0')", "count(distinct obs_0)", "count(distinct obs_1)").first()
+    assert tuple(n) == (3400 * 3300, 0, 3400, 3300)
+    few = observation.rows(t.where("o <> 'x' or s < 'x12'"), [*ps[2::-1]], 0).where("obs_1 < 'y11'").collect()
+    assert len(few) == len(set(few)) == sum(f"x{i}" < "x12" for i in range(3400)) * sum(f"y{i}" < "y11" for i in range(3300))
+    assert observation.rows(t, ps, 0).count() == 0 and observation.rows(t, ps, 0).columns == ["obs_0", "obs_1", "obs_2", "obs_3"]
+    with pytest.raises(ValueError, match="11220000 combinations"):
+        observation.rows(t, ps[:3], 0, most=10_000_000)
+
+
 @pytest.mark.parametrize("name", sorted(own.QUERIES))
 def test_query_against_sql(spark, name):
     df = own.QUERIES[name](spark, DATA)

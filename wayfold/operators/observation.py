@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from wayfold.operators.closure import cut
 from wayfold.plans.binder import Pattern
 
+#: Rows of a product that a task makes, as long as there are no more than so many tasks.
+TASK_ROWS, MOST_TASKS = 2_000_000, 10_000
+#: Matches of a projection that are broadcast; more are met in a product of partitions.
+BROADCAST_ROWS = 100_000
+
 
 def match(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """query_id, proj, branch, s: every subject that has all terms of a branch (and maybe more)."""
@@ -44,25 +49,30 @@ def verify(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     return projections(triples, patterns).groupBy("query_id").agg(F.bool_and(F.col("n") > 0).alias("ok"))
 
 
-def rows(triples: DataFrame, patterns: Sequence[Pattern], query: int, most: int = 10_000_000) -> DataFrame:
+def rows(triples: DataFrame, patterns: Sequence[Pattern], query: int, most: int | None = None) -> DataFrame:
     """A query's bindings: every combination of matches of its independent projections, as obs_0, obs_1, ...
 
-    That is a product by the pattern's meaning; it is refused beyond so many rows.
+    That is a product by the pattern's meaning, made in tasks of some rows each; whoever wants it refused beyond so many rows gives most.
     """
     own = [p for p in patterns if p.query == query]
     # One scan of the triples serves the count and every projection.
     found = cut(match(triples, own))
     counts = {r.proj: r.n for r in found.groupBy("proj").agg(F.count("*").alias("n")).collect()}  # a row a projection
+    names = sorted({p.proj for p in own})
     size = 1
-    for i in {p.proj for p in own}:
+    for i in names:
         size *= counts.get(i, 0)
-    if size > most:
+    if most is not None and size > most:
         raise ValueError(f"{size} combinations; ask verify(), or raise most")
     out = None
-    for i in sorted({p.proj for p in own}):
+    # The longest is dealt over the tasks, the others are met there.
+    for i in sorted(names, key=lambda i: -counts.get(i, 0)):
         one = found.where(F.col("proj") == i).select(F.col("s").alias(f"obs_{i}"))
-        out = one if out is None else out.crossJoin(one)
-    return out
+        if out is None:
+            out = one.repartition(max(1, min(counts.get(i, 0), -(-size // TASK_ROWS), MOST_TASKS)))
+        else:
+            out = out.crossJoin(F.broadcast(one) if counts.get(i, 0) <= BROADCAST_ROWS else one)
+    return out if out is None else out.select(*(f"obs_{i}" for i in names))
 
 
 def individual_triples(individuals: DataFrame) -> DataFrame:
