@@ -60,6 +60,32 @@ def test_encoder_forgets_words_and_gives_the_same(monkeypatch):
     assert some.old and len(some.young) + len(some.old) < 400
 
 
+def test_encoder_asks_for_a_unit_once():
+    some = Encoder(queries.tokenizer())
+    text = "Foo-bar, n12 (x.y) 2024-11-05 İstanbul it's été/ÉTÉ 中文 naïve×2"
+    want = some.encode([text])
+    assert some.ids([text]) == want
+    some.encode = some.tokenizer = None
+    assert some.ids([text, "FOO\n(été) bar 1 2-n"])[0] == want[0]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 40])
+def test_encoder_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr("wayfold.llm.encode.PIECE", piece)
+    some = Encoder(queries.tokenizer())
+    texts = ["", " ", "a  b c", "long" * 30 + " x " + "y" * 50, "tail ", " head", *(t or "" for t in TEXTS[:12])]
+    assert some.ids(texts) == some.encode(texts)
+
+
+def test_encoder_with_hashes_that_collide(monkeypatch):
+    e = encoder(queries.tokenizer())
+    hashes = lambda data, starts, ends: (ends - starts).astype(np.uint64)
+    monkeypatch.setattr("wayfold.llm.encode.word_hashes", hashes)
+    some = Encoder(queries.tokenizer())
+    texts = ["one two six, Ten 10 n12", "", "été ete été; two!", "x" * 70 + " y" + "z" * 70, "six <|endoftext|> two"]
+    assert [some.ids(texts), [some.ids([t])[0] for t in texts]] == [e.encode(texts)] * 2
+
+
 def test_op1(spark, docs, empty):
     e = encoder(queries.tokenizer())
     n = [len(x) // 4 for x in e.ids([r.text or "" for r in docs.collect()])]
