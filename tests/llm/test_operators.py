@@ -278,6 +278,40 @@ def test_op5_by_brute_force(spark, docs, table_rows):
     assert worst.min() < 1e-9, worst
 
 
+def test_op5_fits_on_all_rows_of_all_folds(spark, monkeypatch):
+    # More than 20,000 training rows in all; each reaches the fit once.
+    rng = np.random.default_rng(4)
+    texts = [" ".join([f"v{x}" for x in rng.zipf(1.4, 6) % 40] + ["rotten"] * (i % 4 == 0)) for i in range(21_500 * 5 // 4)]
+    labels = [(i, int(i % 4 == 0)) for i in range(len(texts))]
+    seen = []
+    real = toxicity.fitted
+    monkeypatch.setattr(toxicity, "fitted", lambda rows: seen.append(rows.count()) or real(rows))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, truth)
+    assert got.where("held_out and predicted <> int(doc_id % 4 = 0)").count() < 0.05 * len(texts) / 5
+    train = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(len(texts)))
+    assert train > 20_000 and seen == [train] * len(toxicity.DISCOUNTS)
+
+
+@pytest.mark.parametrize("n, values", [(2, 9), (50, 7), (3000, 10**6), (25_000, 400)])
+def test_op5_fit_by_brute_force(spark, n, values):
+    rng = np.random.default_rng(n)
+    y = (rng.random(n) < 0.3).astype(int)
+    y[:2] = 0, 1
+    x = (rng.integers(0, values, n) + y * (values // 3)) / 7
+    got = toxicity.fitted(spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y, strict=True)], "x double, y int").repartition(7))
+    above, below = np.sort(x[y == 1]), np.sort(x[y == 0])
+    wins = sum(np.searchsorted(below, above, s).sum() for s in ("left", "right")) / 2
+    assert abs(got[0] - wins / (len(above) * len(below))) < 1e-9
+    v = np.unique(x)
+    edges = np.concatenate([[v[0] - 1], v, [v[-1] + 1]])
+    cuts = [(int(np.searchsorted(below, b, "left") + len(above) - np.searchsorted(above, b, "left")), b - a, (a + b) / 2) for a, b in zip(edges, edges[1:], strict=False)]
+    most = max(c[0] for c in cuts)
+    widest = max(c[1] for c in cuts if c[0] == most)
+    assert any(c[0] == most and abs(c[1] - widest) < 1e-9 and abs(c[2] - got[1]) < 1e-9 for c in cuts)
+
+
 def test_op6(spark, docs, empty):
     got = by_id(quality.judge(docs, []))
     for i, t in enumerate(TEXTS):
